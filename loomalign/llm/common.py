@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,51 +94,126 @@ def py_words(text: str | None) -> list[str]:
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts by the tokenizers library, with a bounded memo of the ids of space-delimited chunks.
-
-    A vocabulary whose pre-tokenizer never joins text across a chunk border encodes a text as the concatenation of its
-    chunks' ids, so each distinct chunk is encoded by the library once and then looked up.
-
-    mode "drop": white space is dropped by the pre-tokenizer (word_bpe_49k); any border at ASCII white space is safe.
-    mode "lead": a single space leads the word that follows (byte_bpe_50k); a border is safe before a single space
-    between two non-space characters, and where longer runs of white space occur only such borders are taken.
+    """Token ids of whole texts by the tokenizers library, with a bounded memo of the ids of words.
+
+    A vocabulary whose pre-tokenizer never joins text across a word border encodes a text as the concatenation of its
+    words' ids. A batch of texts is cut into words and these are numbered by Arrow; each distinct word of the batch is
+    looked up, or encoded by the library once; NumPy puts the ids together. Punctuation at a word's end is a pre-token of
+    its own after a letter or digit, so it is looked up by itself. A word that is one pre-token goes straight to the
+    library's BPE model, any other one through the whole library.
+
+    mode "drop": white space is dropped by the pre-tokenizer and text is lower-cased (word_bpe_49k); words are cut at
+    ASCII white space.
+    mode "lead": a single space leads the word that follows and a single newline stands alone (byte_bpe_50k). Texts with
+    two white-space characters in a row, or with other kinds of white space, are encoded whole by the library.
     """
 
-    def __init__(self, path: str, mode: str, limit: int = 400_000):
+    def __init__(self, path: str, mode: str, limit: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.mode, self.limit, self.memo = mode, limit, {}
-        self._odd = re.compile(r" \s|\s ")
-        self._border = re.compile(r"(?<=\S) (?=\S)")
-        self._space = re.compile(r"[ \t\n\r\f\v]+")
-        self._rare = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-
-    def chunks(self, text: str) -> list[str]:
-        if self.mode == "drop":
-            return self._space.split(text) if self._rare.search(text) else text.split()
-        parts = self._border.split(text) if self._odd.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        self.mode, self.limit, self.young, self.old = mode, limit, {}, {}
+        self._odd = "[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+        self._one = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-^`{-~]+")
+        self._solid = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\Z")
+        self._bytes = _byte_letters()
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+
+    def _new(self, word: str, lead: bool) -> bytes:
+        """Ids of a word (with its leading space, if lead) by the library."""
+        if self._one.fullmatch(word):
+            word = word.lower() if self.mode == "drop" else " " + word if lead else word
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self._bytes))]
+        else:
+            ids = self.tok.encode(" " + word if lead and word[:1] != "\n" else word, add_special_tokens=False).ids
+        return array(self._code, ids).tobytes()
+
+    def _known(self, word: str, lead: bool) -> bytes:
+        key = word if lead else "\0" + word
+        if (out := self.young.get(key)) is None:
+            if (out := self.old.get(key)) is None:
+                out = self._new(word, lead)
+            self.young[key] = out
+        return out
+
+    def _word(self, word: str, lead: bool) -> bytes:
+        core = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        if len(core) == len(word) or not self._solid.search(core):
+            return self._known(word, lead)
+        return self._known(core, lead) + self._known(word[len(core) :], False)
+
+    def encode_arrow(self, texts, end: int | None = None):
+        """(ids of all texts in self.dtype, number of ids of each) of an Arrow array; null counts as empty. end is added to each text."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        lead = self.mode == "lead"
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = {}
+        if lead:
+            odd = pc.match_substring_regex(texts, self._odd)
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+            if whole:
+                texts = pc.if_else(odd, "", texts)
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        numbered = lists.flatten().dictionary_encode()
+        codes, words = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        out = [self._word(w, lead) if w or lead else b"" for w in words]
+        counts = np.diff(offsets)
+        if lead:  # the first word of a text has no space before it
+            first = np.flatnonzero(counts)
+            starts: dict[str, int] = {}
+            for i in first.tolist():
+                w = words[codes[offsets[i]]]
+                if w not in starts:
+                    starts[w] = len(out)
+                    out.append(self._word(w, False) if w else b"")
+                codes[offsets[i]] = starts[w]
+        if end is not None:
+            out.append(array(self._code, [end]).tobytes())
+            codes = np.insert(codes, offsets[1:], len(out) - 1)
+            counts = counts + 1
+        size = np.fromiter(map(len, out), np.int64, len(out)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(out), self.dtype), np.cumsum(size) - size
+        n = size[codes]
+        begin = np.cumsum(n) - n
+        ids = flat[np.arange(int(n.sum())) + np.repeat(at[codes] - begin, n)]
+        total = np.add.reduceat(np.append(n, 0), np.append(0, np.cumsum(counts)[:-1])) * (counts > 0) if len(counts) else counts
+        if whole:
+            parts = np.split(ids, np.cumsum(total)[:-1])
+            tail = [] if end is None else [end]
+            for i, own in whole.items():
+                parts[i] = np.append(own, np.array(tail, self.dtype))
+            ids, total = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, total.astype(np.int64)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Little-endian ids of each text, in self.dtype; null counts as empty."""
+        """Little-endian ids of each text."""
         import numpy as np
+        import pyarrow as pa
+
+        ids, n = self.encode_arrow(pa.array(list(texts), pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
-        split = [self.chunks(t) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        missing = list({c for parts in split for c in parts if c not in memo})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, self.dtype).tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself if printable, else the next one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
 _TOKENIZERS: dict[tuple[str, str], ChunkTokenizer] = {}
@@ -156,5 +232,18 @@ def slices(batch, n: int = 256):
         yield batch.slice(at, n)
 
 
+def slices_by_bytes(batch, column: str, most: int = 16 << 20):
+    """Parts of an Arrow batch with about most bytes in a text column, or one row if that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

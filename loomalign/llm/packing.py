@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import slices, stored, tokenizer
+from loomalign.llm.common import slices_by_bytes, stored, tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -27,14 +27,14 @@ def encode_rows(docs: DataFrame, path: str, mode: str, end: int, key: str = "doc
         from pyspark import TaskContext
 
         part, at, tok = TaskContext.get().partitionId(), 0, tokenizer(path, mode)
-        tail = np.array([end], tok.dtype).tobytes()
         for batch in batches:
-            for s in slices(batch):
-                ids = [x + tail for x in tok.encode(s.column("_t").to_pylist())]
-                n = np.array([len(x) // tok.dtype.itemsize for x in ids], np.int64)
-                starts = at + np.cumsum(n) - n
+            for s in slices_by_bytes(batch, "_t"):
+                ids, n = tok.encode_arrow(s.column("_t"), end)
+                until = np.cumsum(n)
+                starts = at + until - n
                 at += int(n.sum())
-                yield pa.record_batch([pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), s.column("_id"), pa.array(n), pa.array(ids, pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
+                own = [ids[a:b].tobytes() for a, b in zip((until - n).tolist(), until.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), s.column("_id"), pa.array(n), pa.array(own, pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
     return rows.mapInArrow(run, "part int, at long, doc_id long, n long, ids binary")

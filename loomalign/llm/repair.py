@@ -19,7 +19,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import file_store, put_file, shuffle_width, slices, stored, tokenizer
+from loomalign.llm.common import file_store, put_file, shuffle_width, slices_by_bytes, stored, tokenizer
 
 HEAD = struct.Struct("<4sIIIQB")
 
@@ -149,21 +149,22 @@ def write_shards(docs: DataFrame, folder: str, path: str, mode: str = "drop", en
         from pyspark import TaskContext
 
         part, seq, tok = TaskContext.get().partitionId(), 0, tokenizer(path, mode)
-        tail = np.array([end], tok.dtype).tobytes()
         ids, names, counts, held = [], [], [], 0
 
         def close():
-            data = shard_bytes(np.frombuffer(b"".join(ids), tok.dtype), names, counts, vocabulary)
+            data = shard_bytes(np.concatenate(ids), names, counts, vocabulary)
             file = put_file(folder, f"shard-{part:06d}-{seq:05d}.rpg", data)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([file]), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([len(data)], pa.int64())], names=["part", "seq", "file", "n_docs", "n_tokens", "n_bytes"])
 
         for batch in batches:
-            for s in slices(batch):
-                for name, x in zip(s.column("_id").to_pylist(), tok.encode(s.column("_t").to_pylist()), strict=True):
-                    ids.append(x + tail)
+            for s in slices_by_bytes(batch, "_t"):
+                own, n = tok.encode_arrow(s.column("_t"), end)
+                until = np.cumsum(n)
+                for name, a, b in zip(s.column("_id").to_pylist(), (until - n).tolist(), until.tolist(), strict=True):
+                    ids.append(own[a:b])
                     names.append(name)
-                    counts.append(len(ids[-1]) // tok.dtype.itemsize)
-                    held += counts[-1]
+                    counts.append(b - a)
+                    held += b - a
                     if held >= shard_tokens:
                         yield close()
                         ids, names, counts, held, seq = [], [], [], 0, seq + 1
