@@ -253,7 +253,9 @@ def _pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
     drawn = F.xxhash64("id", "band", F.lit(turn))
     lead = F.struct(F.col("id"), F.col("n"), F.col("part"))
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2"), F.max_by(lead, drawn).alias("l3")).where("p0 != p1")
-    met = rows.join(buckets.select("band", F.array_distinct(F.array("l0", "l1", "l2", "l3")).alias("leads")), "band").select("id", "n", "part", F.explode("leads").alias("l"))
+    # Leaders of a text's buckets are mostly the same few, so they are made one set for each text before pairs are made.
+    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2", "l3").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
+    met = met.select("id", "n", "part", F.explode("leads").alias("l"))
     met = met.where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
     return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
