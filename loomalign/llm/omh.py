@@ -89,7 +89,7 @@ def shingles(words, counts, k: int = SHINGLE):
     first = np.cumsum(counts) - counts
     short = np.flatnonzero((counts > 0) & (counts < k))
     for i in short.tolist():
-        value[first[i]] = sum((words[first[i] + j] * odd[j] for j in range(counts[i])), np.uint64(counts[i]))
+        value[first[i]] = (words[first[i] : first[i] + counts[i]] * np.array(odd[: counts[i]])).sum(dtype=np.uint64) ^ np.uint64(counts[i])
     at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     return _mix(value[at]), n
 
@@ -145,12 +145,13 @@ def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        lower = np.arange(256, dtype=np.uint8)
+        lower[65:91] += 32
         for batch in batches:
             for s in slices_by_bytes(batch, "_t", 3 << 20):
                 raw = pc.fill_null(s.column("_t").cast(pa.large_string()), "")
-                t = pc.ascii_lower(raw)
-                edges = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
-                data = np.frombuffer(t.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+                edges = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+                data = lower[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]]
                 words, count = word_hashes(data, edges - edges[0])
                 value, n = shingles(words, count)
                 first, at = (np.cumsum(count) - count).tolist(), (np.cumsum(n) - n).tolist()

@@ -109,3 +109,12 @@ def test_order_counts():
     same = omh.sketches(np.concatenate([v, v]), n)
     other = omh.sketches(np.concatenate([v, v[::-1]]), n)
     assert (same[0] == same[1]).all() and (other[0] == other[1]).sum() == 0
+
+
+def test_large_batches_are_read_whole(spark):
+    """A batch that is cut into several slices gives the same counts as its texts alone."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Ab", "cé", "d"]) + str(rng.randrange(999)) for _ in range(40_000)) for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-2:])], "doc_id long, text string").coalesce(1)
+    got = {r.id: (r.n, bytes(r.digest)) for r in omh.read_texts(df).select("id", "n", "digest").collect()}
+    assert all(got[i][0] == len(py_words(t)) - 4 for i, t in enumerate(texts)) and len({d for _, d in got.values()}) == 30 and got[28][1] == got[30][1]
