@@ -229,7 +229,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
     # The right side's texts are joined first, so that a leader's text travels once for each of its pairs only at the end.
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,9 +253,9 @@ def _pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
     """
     drawn = F.xxhash64("id", "band", F.lit(turn))
     lead = F.struct(F.col("id"), F.col("n"), F.col("part"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2"), F.max_by(lead, drawn).alias("l3")).where("p0 != p1")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2")).where("p0 != p1")
     # Leaders of a text's buckets are mostly the same few, so they are made one set for each text before pairs are made.
-    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2", "l3").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
+    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
     met = met.select("id", "n", "part", F.explode("leads").alias("l"))
     met = met.where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
     return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
@@ -271,8 +271,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     entries = stored(entries.join(shared, "band"), "omh-entries")
     weight = entries.groupBy("id").agg(F.sum("c").alias("weight"))
     rows = entries.drop("c").join(weight, "id")
-    # Only texts that share a sketch can be compared; the others' shingles stay where they are.
-    compared = stored(texts.select("id", "shingles").join(weight.select("id"), "id", "left_semi"), "omh-compared")
+    # Only texts that share a sketch can be compared. The ids grow with the input, so they are never broadcast: the plan is
+    # the same at every size.
+    compared = stored(texts.select("id", "shingles").join(weight.select("id").hint("merge"), "id", "left_semi"), "omh-compared")
 
     links, labels, turn = None, None, 0
     while True:
