@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.functions.similarity import unit
+from loomalign.functions.similarity import EPS, unit
 
 
 class Encoder(Protocol):
@@ -67,16 +68,18 @@ class FunctionEncoder:
         return self
 
     def transform(self, rows: DataFrame, key: str = "node", text: str = "text") -> DataFrame:
-        run = F.pandas_udf(_stream(self.load), "array<double>", F.PandasUDFType.SCALAR_ITER)
-        return rows.withColumn("embedding", unit(run(F.col(text))))
+        run = F.pandas_udf(_stream(self.load), "array<double>")
+        return rows.withColumn("embedding", run(F.col(text)))
 
 
 def _stream(load):
-    def body(batches):
-        import pandas as pd
-
+    def body(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for s in batches:
-            yield pd.Series([[float(v) for v in x] for x in model(s.fillna("").tolist())])
+            out = []
+            for x in model(s.fillna("").tolist()):
+                n = sum(float(v) ** 2 for v in x) ** 0.5 + EPS
+                out.append([float(v) / n for v in x])
+            yield pd.Series(out)
 
     return body

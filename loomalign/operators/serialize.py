@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.text import draw, is_missing, strip
+from loomalign.functions.text import draw, is_missing, let, strip
 from loomalign.operators.profile import COLUMN, column_list, column_types, first_cells, numeric_features
 
 
@@ -68,5 +68,5 @@ def profile_texts(cells: DataFrame, examples: int = 10) -> DataFrame:
 def pair_tokens(left: Column, right: Column) -> tuple[Column, Column]:
     """Tokens of 'left [SEP] right' and their labels: HD for COL, VAL and the attribute's name after COL, <SEP>, else O."""
     tokens = F.split(F.concat(left, F.lit(" [SEP] "), right), " ")
-    label = lambda t, i: F.when(t == "[SEP]", "<SEP>").when(t.isin("COL", "VAL") | ((i > 0) & (F.get(tokens, i - 1) == "COL")), "HD").otherwise("O")
-    return tokens, F.transform(tokens, label)
+    label = lambda tk: F.transform(tk, lambda t, i: F.when(t == "[SEP]", "<SEP>").when(t.isin("COL", "VAL") | ((i > 0) & (F.get(tk, i - 1) == "COL")), "HD").otherwise("O"))
+    return tokens, let(tokens, label)

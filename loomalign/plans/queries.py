@@ -61,7 +61,7 @@ def cells_sql(*names: str) -> str:
 NUMBER_SQL = r"regexp_matches(regexp_replace({0}, ',', '', 'g'), '(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$')"
 NUM, TYPE_TABLES = NUMBER_SQL.format("s"), ("customer", "supplier", "part", "orders", "lineitem")
 TYPES_SQL = f"types AS (SELECT table_name, col_idx, column_name, CASE WHEN avg(CASE WHEN {NUM} THEN 1 ELSE 0 END) >= 0.8 THEN 'numeric' WHEN avg(CASE WHEN NOT {NUM} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[/:-]') THEN 1 ELSE 0 END) >= 0.8 THEN 'date_or_time' WHEN count(DISTINCT value) <= 0.5 * count(*) THEN 'categorical' ELSE 'text' END AS type, count(*) AS n_sampled FROM kept WHERE r <= 2000 GROUP BY ALL)"
-FEATURES_SQL = f"nums AS (SELECT table_name, col_idx, column_name, CASE WHEN {NUM} THEN TRY_CAST(replace(s, ',', '') AS DOUBLE) END AS x, row_number() OVER (PARTITION BY table_name, column_name ORDER BY row_idx) AS r FROM stripped), feats AS (SELECT table_name, col_idx, column_name, coalesce(avg(x), 0) AS mean, coalesce(stddev_pop(x), 0) AS sd, coalesce(min(x), 0) AS lo, coalesce(max(x), 0) AS hi, coalesce(quantile_cont(x, CAST(0.25 AS DOUBLE)), 0) AS p25, coalesce(quantile_cont(x, CAST(0.5 AS DOUBLE)), 0) AS p50, coalesce(quantile_cont(x, CAST(0.75 AS DOUBLE)), 0) AS p75, CASE WHEN count(x) > 0 THEN (count(*) - count(x)) / (SELECT count(*) FROM stripped t WHERE t.table_name = nums.table_name AND t.column_name = nums.column_name)::DOUBLE ELSE 0 END AS miss FROM nums WHERE r <= 50000 GROUP BY ALL)"
+FEATURES_SQL = f"nums AS (SELECT table_name, col_idx, column_name, CASE WHEN {NUM} THEN TRY_CAST(replace(s, ',', '') AS DOUBLE) END AS x, row_number() OVER (PARTITION BY table_name, column_name ORDER BY row_idx) AS r FROM stripped), feats AS (SELECT table_name, col_idx, column_name, coalesce(avg(x), 0) AS mean, coalesce(stddev_pop(x), 0) AS sd, coalesce(min(x), 0) AS lo, coalesce(max(x), 0) AS hi, coalesce(quantile_cont(x, CAST(0.25 AS DOUBLE)), 0) AS p25, coalesce(quantile_cont(x, CAST(0.5 AS DOUBLE)), 0) AS p50, coalesce(quantile_cont(x, CAST(0.75 AS DOUBLE)), 0) AS p75, CASE WHEN count(x) > 0 THEN (count(*) - count(x)) / (SELECT count(*) FROM stripped t WHERE t.table_name = nums.table_name AND t.column_name = nums.column_name)::DOUBLE ELSE 0 END AS miss FROM nums WHERE r <= 50000 GROUP BY table_name, col_idx, column_name)"
 FEATURE_NAMES = ("mean", "sd", "lo", "hi", "p25", "p50", "p75", "miss")
 
 
@@ -97,7 +97,7 @@ def cell_flags(spark, sf_dir):
 # --- Texts --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {cells_sql('part', 'customer')} SELECT table_name, column_name, 'table ' || table_name || ' column ' || column_name || ' values ' || string_agg(s, ' ' ORDER BY row_idx) AS text FROM kept WHERE r <= 128 GROUP BY ALL")
+@query(f"WITH {cells_sql('part', 'customer')} SELECT table_name, column_name, 'table ' || table_name || ' column ' || column_name || ' values ' || string_agg(s, ' ' ORDER BY row_idx) AS text FROM kept WHERE r <= 128 GROUP BY table_name, column_name")
 def serialize_columns(spark, sf_dir):
     return serialize.column_texts(cells(spark, sf_dir, "part", "customer"), table_name=True).select("table_name", "column_name", "text")
 
@@ -111,7 +111,7 @@ def draw_sql(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
-@query(f"WITH {cells_sql('part', 'customer')}, d AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY {draw_sql(chr(39) + 'corpus' + chr(39), 'table_name', 'column_name', 'row_idx')}, row_idx) AS k FROM kept) SELECT table_name, column_name, '[COL] ' || column_name || ' [VAL] ' || string_agg(value, ' ' ORDER BY row_idx) AS text FROM d WHERE k <= 128 GROUP BY ALL")
+@query(f"WITH {cells_sql('part', 'customer')}, d AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY {draw_sql(chr(39) + 'corpus' + chr(39), 'table_name', 'column_name', 'row_idx')}, row_idx) AS k FROM kept) SELECT table_name, column_name, '[COL] ' || column_name || ' [VAL] ' || string_agg(value, ' ' ORDER BY row_idx) AS text FROM d WHERE k <= 128 GROUP BY table_name, column_name")
 def serialize_corpus(spark, sf_dir):
     return serialize.corpus_texts(cells(spark, sf_dir, "part", "customer")).select("table_name", "column_name", "text")
 
@@ -259,24 +259,24 @@ def knn_pool(spark, sf_dir):
     return pooled(spark, sf_dir).where("near").select("src", "dst", "score")
 
 
-@query(f"WITH {FUSED_SQL} SELECT src, dst, fused FROM fused WHERE near")
+@query(f"WITH {FUSED_SQL} SELECT src, dst, round(fused, 6) AS fused FROM fused WHERE near")
 def fused_edges(spark, sf_dir):
-    return fused(spark, sf_dir).where("near").select("src", "dst", "fused")
+    return fused(spark, sf_dir).where("near").select("src", "dst", F.round("fused", 6).alias("fused"))
 
 
-@query(f"WITH {FUSED_SQL}, {TOP_SQL} SELECT src, dst, fused AS score FROM top")
+@query(f"WITH {FUSED_SQL}, {TOP_SQL} SELECT src, dst, round(fused, 6) AS score FROM top")
 def per_table_topk(spark, sf_dir):
-    return candidates.per_table_top(fused(spark, sf_dir), K).select("src", "dst", "score")
+    return candidates.per_table_top(fused(spark, sf_dir), K).select("src", "dst", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {FUSED_SQL} SELECT src, dst, fused AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY fused DESC, dst) AS k FROM fused WHERE ts <> td) WHERE k <= {K}")
+@query(f"WITH {FUSED_SQL} SELECT src, dst, round(fused, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY fused DESC, dst) AS k FROM fused WHERE ts <> td) WHERE k <= {K}")
 def global_topk(spark, sf_dir):
-    return candidates.global_top(fused(spark, sf_dir), K).select("src", "dst", "score")
+    return candidates.global_top(fused(spark, sf_dir), K).select("src", "dst", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {FUSED_SQL}, {TOP_SQL}, {RECIPROCAL_SQL} SELECT a, b, score FROM edges")
+@query(f"WITH {FUSED_SQL}, {TOP_SQL}, {RECIPROCAL_SQL} SELECT a, b, round(score, 6) AS score FROM edges")
 def reciprocal_edges(spark, sf_dir):
-    return candidates.reciprocal(candidates.per_table_top(fused(spark, sf_dir), K))
+    return candidates.reciprocal(candidates.per_table_top(fused(spark, sf_dir), K)).withColumn("score", F.round("score", 6))
 
 
 SPARSE = "SELECT src AS a, dst AS b FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM pairs WHERE ts <> td AND score >= 0.45) WHERE k <= 1"
@@ -596,11 +596,11 @@ def augmented(op: str, right: bool = False) -> Query:
 
 LABELS_SQL = "lb AS (SELECT *, list_transform(t, lambda x, i: CASE WHEN x = '[SEP]' THEN '<SEP>' WHEN x IN ('COL', 'VAL') OR (i > 1 AND t[i - 1] = 'COL') THEN 'HD' ELSE 'O' END) AS l FROM tk)"
 query(f"WITH {TALK_SQL}, p AS (SELECT *, {d_sql('del', chr(39) + 'n' + chr(39))} % 2 + 1 AS n, {d_sql('del', chr(39) + 'at' + chr(39))} AS d FROM tk) SELECT conv_id, turn, array_to_string(CASE WHEN len(t) >= n THEN list_concat(t[1:d % (len(t) - n + 1)], t[d % (len(t) - n + 1) + n + 1:]) ELSE t END, ' ') AS text FROM p")(augmented("del"))
-query(f"WITH {TALK_SQL}, p AS (SELECT *, {d_sql('swap', chr(39) + 'n' + chr(39))} % 3 + 2 AS n, {d_sql('swap', chr(39) + 'at' + chr(39))} AS d FROM tk), q AS (SELECT *, d % (len(t) - n + 1) AS at FROM p WHERE len(t) >= n), o AS (SELECT *, list_sort(list_transform(range(n), lambda i: {{'d': {d_sql('swap', chr(39) + 'order' + chr(39), 'i')}, 'i': i}})) AS s FROM q) SELECT conv_id, turn, array_to_string(list_concat(t[1:at], list_transform(s, lambda x: t[at + x.i + 1]), t[at + n + 1:]), ' ') AS text FROM o UNION ALL SELECT conv_id, turn, array_to_string(t, ' ') FROM p WHERE len(t) < n")(augmented("swap"))
+query(f"WITH {TALK_SQL}, p AS (SELECT *, {d_sql('swap', chr(39) + 'n' + chr(39))} % 3 + 2 AS n, {d_sql('swap', chr(39) + 'at' + chr(39))} AS d FROM tk), q AS (SELECT *, d % (len(t) - n + 1) AS pl FROM p WHERE len(t) >= n), o AS (SELECT *, list_sort(list_transform(range(n), lambda i: {{'d': {d_sql('swap', chr(39) + 'order' + chr(39), 'i')}, 'i': i}})) AS s FROM q) SELECT conv_id, turn, array_to_string(list_concat(list_slice(t, 1, pl), list_transform(s, lambda x: list_extract(t, pl + x.i + 1)), t[pl + n + 1:len(t)]), ' ') AS text FROM o UNION ALL SELECT conv_id, turn, array_to_string(t, ' ') FROM p WHERE len(t) < n")(augmented("swap"))
 query(f"WITH {TALK_SQL}, p AS (SELECT *, list_sort(list_distinct(list_transform(t, lambda x: length(x)))) AS ls, {d_sql('drop_len', chr(39) + 'len' + chr(39))} AS d FROM tk) SELECT conv_id, turn, coalesce(array_to_string(list_filter(t, lambda x: length(x) <> ls[d % len(ls) + 1]), ' '), '') AS text FROM p")(augmented("drop_len"))
 query(rf"WITH {TALK_SQL} SELECT conv_id, turn, array_to_string(list_transform(t, lambda x, i: CASE WHEN {d_sql('drop_sym', chr(39) + 'sym' + chr(39), 'i - 1')} % 5 = 0 THEN regexp_replace(x, '[^\p{{L}}\p{{N}}]', ' ', 'g') ELSE x END), ' ') AS text FROM tk")(augmented("drop_sym"))
 query(f"WITH {TALK_SQL} SELECT conv_id, turn, coalesce(array_to_string(list_filter(t, lambda x, i: {d_sql('drop_token', chr(39) + 'token' + chr(39), 'i - 1')} % 5 <> 0), ' '), '') AS text FROM tk")(augmented("drop_token"))
-query(f"WITH {TALK_SQL}, p AS (SELECT *, {d_sql('ins', chr(39) + 'at' + chr(39))} % len(t) AS at, {d_sql('ins', chr(39) + 'symbol' + chr(39))} % 6 AS k FROM tk) SELECT conv_id, turn, array_to_string(list_concat(t[1:at], [['-', '*', '.', ',', '#', '&'][k + 1]], t[at + 1:]), ' ') AS text FROM p")(augmented("ins"))
+query(f"WITH {TALK_SQL}, p AS (SELECT *, {d_sql('ins', chr(39) + 'at' + chr(39))} % len(t) AS pl, {d_sql('ins', chr(39) + 'symbol' + chr(39))} % 6 AS k FROM tk) SELECT conv_id, turn, array_to_string(list_concat(list_slice(t, 1, pl), list_slice(['-', '*', '.', ',', '#', '&'], k + 1, k + 1), list_slice(t, pl + 1, len(t))), ' ') AS text FROM p")(augmented("ins"))
 query(f"WITH {PAIR_SQL}, {LABELS_SQL}, p AS (SELECT *, list_position(t, '[SEP]') AS sep, {d_sql('drop_same', chr(39) + 'same' + chr(39))} AS d FROM lb), q AS (SELECT *, list_sort(list_distinct(list_filter(list_filter(t, lambda x, i: i < sep AND l[i] = 'O'), lambda x: list_contains(list_filter(t, lambda y, j: j > sep AND l[j] = 'O'), x)))) AS c FROM p) SELECT conv_id, turn, array_to_string(CASE WHEN len(c) = 0 THEN t ELSE list_filter(t, lambda x, i: l[i] <> 'O' OR x <> c[d % len(c) + 1]) END, ' ') AS text FROM q")(augmented("drop_same", True))
 
 
