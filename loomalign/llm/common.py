@@ -219,10 +219,10 @@ def _byte_letters() -> dict[int, str]:
 _TOKENIZERS: dict[tuple[str, str], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str, mode: str) -> ChunkTokenizer:
-    """One tokenizer and memo per worker process."""
+def tokenizer(path: str, mode: str, limit: int = 450_000) -> ChunkTokenizer:
+    """One tokenizer and memo per worker process. limit: words in each of the memo's two generations."""
     if (path, mode) not in _TOKENIZERS:
-        _TOKENIZERS[path, mode] = ChunkTokenizer(path, mode)
+        _TOKENIZERS[path, mode] = ChunkTokenizer(path, mode, limit)
     return _TOKENIZERS[path, mode]
 
 

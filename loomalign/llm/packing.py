@@ -26,15 +26,17 @@ def encode_rows(docs: DataFrame, path: str, mode: str, end: int, key: str = "doc
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, at, tok = TaskContext.get().partitionId(), 0, tokenizer(path, mode)
+        part, at, tok = TaskContext.get().partitionId(), 0, tokenizer(path, mode, 200_000)
         for batch in batches:
-            for s in slices_by_bytes(batch, "_t"):
+            for s in slices_by_bytes(batch, "_t", 6 << 20):
                 ids, n = tok.encode_arrow(s.column("_t"), end)
                 until = np.cumsum(n)
                 starts = at + until - n
                 at += int(n.sum())
                 own = [ids[a:b].tobytes() for a, b in zip((until - n).tolist(), until.tolist(), strict=True)]
+                del ids
                 yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), s.column("_id"), pa.array(n), pa.array(own, pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
     return rows.mapInArrow(run, "part int, at long, doc_id long, n long, ids binary")
