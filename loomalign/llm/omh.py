@@ -10,10 +10,11 @@ alignment is exact for all pairs that reach it. At 0.8 a sketch is shared with p
 by all 20 with probability below 1e-6.
 
 Texts with equal word sequences are one text from the start. In a bucket of texts that share a sketch, each text is
-compared with a few leaders (the one that shares most sketches with others, the smallest id, and one drawn anew in every
-band), never all with all: pairs grow with bucket entries, not with their square. Links give components; then texts of
+compared with a few leaders (the one that shares most sketches with others, the smallest id, and two drawn anew in every
+band), not all with all: pairs grow with bucket entries, not with their square. Links give components; then texts of
 one bucket that are still in different components are compared again, with other representatives, until a round finds
-no link. There is no cap on bucket sizes or partners.
+no link. Last, all pairs of texts in different components whose buckets hold several are candidates, but for those that
+their lengths and shared shingle counts rule out exactly (see _rest). There is no cap on bucket sizes or partners.
 
 Defined cases: texts without words (null, empty) are equal only if their raw texts are (null counts as empty) and have no
 near copies; fewer than five words are one shingle; ties in a sketch go to the earlier shingle; repeated rows are copies;
@@ -29,6 +30,7 @@ from loomalign.llm.common import slices_by_bytes, stored
 
 BANDS, PICK, SHINGLE = 20, 3, 5
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+BLOCK = 1024  # texts of one shingle that meet in one task
 _POS = 24  # bits of a sketch entry that hold the position; longer texts are sketched in their first 2 ** 24 shingles' order of hash only
 
 
@@ -253,14 +255,50 @@ def _pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
     """
     drawn = F.xxhash64("id", "band", F.lit(turn))
     lead = F.struct(F.col("id"), F.col("n"), F.col("part"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2")).where("p0 != p1")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2"), F.max_by(lead, drawn).alias("l3")).where("p0 != p1")
     # Leaders of a text's buckets are mostly the same few, so they are made one set for each text before pairs are made.
-    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
+    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2", "l3").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
     met = met.select("id", "n", "part", F.explode("leads").alias("l"))
     met = met.where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
     return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
 
+def _rest(rows: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """All pairs of different components that can reach least, of the texts whose buckets still hold several components.
+
+    rows: band, id, n, part. Shingles are made distinct by their occurrence number, so what two texts share is at most the
+    number of labelled shingles they share, and that has to reach least * (n1 + n2) / (1 + least). Labelled shingles have
+    one order: those of a single component first, then the rarer first. Two texts that reach least share one of the first
+    n - least * n + 1 of each, and no more lies behind the first shared one than both have left: an exact prefilter
+    by shingle counts. A shingle of many texts is worked off in salted blocks of about `block` texts.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in slices_by_bytes(batch, "shingles", 1 << 20):
+                n = s.column("n").to_numpy()
+                values = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in s.column("shingles")]).astype(np.uint64)
+                yield pa.record_batch([pa.array(np.repeat(s.column(c).to_numpy(), n)) for c in ("id", "n", "part")] + [pa.array(labelled(values, n).view(np.int64))], names=["id", "n", "part", "h"])
+
+    loose = rows.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("band")
+    left = rows.hint("merge").join(loose, "band").select("id", "n", "part").distinct()
+    units = stored(left.hint("merge").join(texts, "id").select("id", "n", "part", "shingles").mapInArrow(run, "id long, n long, part long, h long"), "omh-units")
+    common = units.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("h", "c")
+    own = units.hint("merge").join(common, "h").groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    first = F.col("n") - F.size("s")  # the place of a text's first shingle that other components have as well
+    width = F.col("n") - F.ceil(F.round(least * F.col("n"), 9)) + 1 - first
+    heads = own.where(width > 0).select("id", "n", "part", first.alias("first"), F.posexplode(F.slice("s", F.lit(1), width.cast("int"))).alias("k", "e"))
+    heads = stored(heads.select("id", "n", "part", (F.col("n") - F.col("first") - F.col("k")).alias("rest"), "e.h", F.ceil(F.col("e.c") / block).alias("blocks")), "omh-heads")
+    a = heads.select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "part", "rest")])
+    b = heads.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "part", "rest")])
+    met = a.hint("merge").join(b, ["h", "salt"]).where((F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")))
+    met = met.where(F.least("n_a", "n_b", "rest_a", "rest_b") >= F.ceil(F.round(least * (F.col("n_a") + F.col("n_b")) / (1 + least), 9)))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """One row per row of docs: key, class_id (the smallest id of its class), class_size, n_texts (different texts in the class), kept."""
     spark = docs.sparkSession
@@ -278,16 +316,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     links, labels, turn = None, None, 0
     while True:
         if labels is None:
-            now = rows.withColumn("part", F.col("id"))
+            now = every = rows.withColumn("part", F.col("id"))
         else:
-            now = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
-            now = now.groupBy("band", "part").agg(F.min_by(F.struct("id", "n", "weight"), F.xxhash64("id", "band", F.lit(turn))).alias("r")).select("band", "part", "r.*")
+            every = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+            now = every.groupBy("band", "part").agg(F.min_by(F.struct("id", "n", "weight"), F.xxhash64("id", "band", F.lit(turn))).alias("r")).select("band", "part", "r.*")
         pairs = stored(_pairs(now, turn, least), "omh-pairs")
         found = stored(verify(pairs, compared, least), "omh-links")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels, turn = components(links), turn + 1
+    # No draw finds a link any more; what is left of the buckets is worked off completely.
+    found = stored(verify(stored(_rest(every, compared, least), "omh-rest"), compared, least), "omh-links")
+    if not found.isEmpty():
+        labels = components(found if links is None else links.union(found))
     own = groups.select("digest", "id", "copies")
     if labels is None:
         labels = spark.createDataFrame([], "id long, label long")

@@ -118,3 +118,22 @@ def test_large_batches_are_read_whole(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[-2:])], "doc_id long, text string").coalesce(1)
     got = {r.id: (r.n, bytes(r.digest)) for r in omh.read_texts(df).select("id", "n", "digest").collect()}
     assert all(got[i][0] == len(py_words(t)) - 4 for i, t in enumerate(texts)) and len({d for _, d in got.values()}) == 30 and got[28][1] == got[30][1]
+
+
+def test_pairs_inside_a_loose_bucket(spark):
+    """Variants of one text share sketches, few of them are near each other: all such pairs count, drawn or not."""
+    rng, n, size = np.random.default_rng(5), 400, 200
+    base, texts, whole = [f"b{i}" for i in range(size)], [], np.ones((n, size - 4), bool)
+    for i in range(n):
+        words = list(base)
+        for k in rng.choice(size, 4, replace=False).tolist():
+            words[k] = f"v{i}x{k}"
+            whole[i, max(0, k - 4) : k + 1] = False
+        texts.append(" ".join(words))
+    same = whole.astype(int) @ whole.T.astype(int)  # words are distinct: shingles that neither text has changed
+    near, label = same >= 0.8 * (2 * (size - 4) - same) - 1e-9, np.arange(n)
+    while ((new := np.where(near, label, n).min(axis=1)) != label).any():
+        label = new
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in omh.near_classes(df).collect()}
+    assert n / 4 < len(set(label.tolist())) < n and [got[i] for i in range(n)] == label.tolist()
