@@ -1,10 +1,10 @@
-"""Main text of web pages, with a suffix array over each host's pages for what structure leaves open.
+"""Main text of web pages, with suffix groups over each host's pages for what structure leaves open.
 
 A page is cut into blocks. Structure decides where it speaks: what lies in a menu, header, footer, sidebar, notice,
 advert, form, comment list, script or style (by element or by class, id or role) is boilerplate; what lies in article or
-main is text. Blocks that neither covers are undecided. The undecided blocks of a host's pages are concatenated as token
-streams; prefix doubling sorts their suffixes by the first SPAN tokens, and substrings of that length that occur on two
-distinct pages or more mark the tokens they cover. Covered tokens are boilerplate; unique runs stay.
+main is text. Blocks that neither covers are undecided. The suffixes of a host's undecided token streams are grouped by
+their first SPAN tokens, over the whole host, and substrings of that length that occur on two distinct pages or more mark
+the tokens they cover. Covered tokens are boilerplate; unique runs stay. repeated() does the same in memory.
 
 Repetition does not overrule structure: an article that is repeated on a host (copies, quoted passages, licence lines)
 stays whole, since the contract keeps all of the article.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomalign.llm.common import slices, stored
 
-SPAN = 8
+SPAN, SALTS = 8, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -190,64 +190,92 @@ def repeated(pages: list[tuple[int, list[str]]], span: int = SPAN) -> list[list[
     return [x.tolist() for x in np.split(covered, np.cumsum(lengths)[:-1])]
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN, host_pages: int = 512) -> DataFrame:
+def _streams(states: list[int], parts: list[str]) -> list[list[str]]:
+    """The token streams of a page's undecided blocks, one for each block."""
+    return [t.split(" ") for x, t in zip(states, parts, strict=True) if not x]
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN) -> DataFrame:
     """One row per row of pages: id, url, text, n_chars, n_undecided (blocks that structure left open), n_covered (their tokens removed).
 
-    Pages without undecided blocks are done where they are read. Only the rest are dealt out by host; a host with more
-    than host_pages such pages is dealt out in groups of about that many, so that no task holds an unbounded host.
+    Pages without undecided blocks are done where they are read. Of the rest, the spans of a whole host are summed up by
+    (host, digest of the span), before and after they are dealt out, and only covered places go back to the pages: no
+    task holds a host, and no host is split.
     """
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_u"), F.col(html).alias("_h"))
 
     def cut(batches):
+        import uuid
+
         import pyarrow as pa
 
-        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string()))])
+        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("row", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string()))])
         for batch in batches:
             for s in slices(batch):
-                done, states, parts = [], [], []
-                for h in s.column("_h").to_pylist():
+                done, states, parts, row, name = [], [], [], [], uuid.uuid4().hex
+                for i, h in enumerate(s.column("_h").to_pylist()):
                     found = [b for b in blocks(h) if b[0] >= 0]
                     if all(x for x, _ in found):
                         done.append("\n".join(t for _, t in found))
                         states.append(None)
                         parts.append(None)
+                        row.append(None)
                     else:
                         done.append(None)
                         states.append([x for x, _ in found])
                         parts.append([t for _, t in found])
-                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string()))], schema=kind)
+                        row.append(f"{name}-{i}")
+                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(row, pa.string()), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string()))], schema=kind)
 
-    first = stored(rows.mapInArrow(cut, "_id long, _u string, done string, states array<tinyint>, parts array<string>"), "blocks")
+    first = stored(rows.mapInArrow(cut, "_id long, _u string, row string, done string, states array<tinyint>, parts array<string>"), "blocks")
     open_ = first.where(F.col("done").isNull()).withColumn("host", F.coalesce(F.lower(F.regexp_extract("_u", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    groups = open_.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / host_pages).alias("groups"))
-    open_ = open_.join(groups, "host").withColumn("group", F.pmod(F.xxhash64("_id"), F.col("groups")))
-
-    def decide(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("_id", kind="stable")
-        streams, places = [], []
-        for i, (page, states, parts) in enumerate(zip(frame["_id"], frame["states"], frame["parts"], strict=True)):
-            tokens = [w for k, (x, t) in enumerate(zip(states, parts, strict=True)) if not x for w in (*t.split(" "), f"\0{i}:{k}")]  # a border of its own ends each block
-            streams.append((-1 - i if page is None or page != page else int(page), tokens))
-            places.append((states, parts))
-        texts, opened, covered = [], [], []
-        for (states, parts), marks in zip(places, repeated(streams, span), strict=True):
-            at, kept = 0, []
-            for x, t in zip(states, parts, strict=True):
-                if x:
-                    kept.append(t)
-                    continue
-                w = t.split(" ")
-                own = " ".join(a for a, m in zip(w, marks[at : at + len(w)], strict=True) if not m)
-                at += len(w) + 1
-                if own:
-                    kept.append(own)
-            texts.append("\n".join(kept))
-            opened.append(sum(not x for x in states))
-            covered.append(sum(marks))
-        return pd.DataFrame({"_id": frame["_id"], "_u": frame["_u"], "done": texts, "n_undecided": opened, "n_covered": covered})
+    open_ = open_.withColumn("page", F.coalesce(F.col("_id").cast("string"), "row"))  # a row without an id is a page of its own
+
+    def spans(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in slices(batch, 16):
+                out = [[], [], [], [], []]
+                for host, page, row, states, parts in zip(*[s.column(c).to_pylist() for c in ("host", "page", "row", "states", "parts")], strict=True):
+                    at = 0
+                    for w in _streams(states, parts):
+                        for k in range(len(w) - span + 1):
+                            for x, v in zip(out, (host, page, row, hashlib.blake2b(" ".join(w[k : k + span]).encode(), digest_size=16).digest(), at + k), strict=True):
+                                x.append(v)
+                        at += len(w)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], names=["host", "page", "row", "h", "at"])
+
+    units = stored(open_.select("host", "page", "row", "states", "parts").mapInArrow(spans, "host string, page string, row string, h binary, at int"), "spans")
+    shared = units.groupBy("host", "h").agg(F.min("page").alias("p0"), F.max("page").alias("p1")).where("p0 != p1")
+    shared = shared.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a span of all pages of a hot host is joined in parts
+    hits = units.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(shared, ["host", "h", "salt"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
+
+    def decide(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in slices(batch):
+                texts, opened, covered = [], [], []
+                for states, parts, hits in zip(*[s.column(c).to_pylist() for c in ("states", "parts", "hits")], strict=True):
+                    marks = {k for h in hits or () for k in range(h, h + span)}
+                    at, kept = 0, []
+                    for x, t in zip(states, parts, strict=True):
+                        if x:
+                            kept.append(t)
+                            continue
+                        w = t.split(" ")
+                        own = " ".join(a for k, a in enumerate(w, at) if k not in marks)
+                        at += len(w)
+                        if own:
+                            kept.append(own)
+                    texts.append("\n".join(kept))
+                    opened.append(sum(not x for x in states))
+                    covered.append(len(marks))
+                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(texts, pa.string()), pa.array(opened, pa.int64()), pa.array(covered, pa.int64())], names=["_id", "_u", "done", "n_undecided", "n_covered"])
 
     closed = first.where(F.col("done").isNotNull()).select("_id", "_u", "done", F.lit(0).cast("long").alias("n_undecided"), F.lit(0).cast("long").alias("n_covered"))
-    rest = open_.groupBy("host", "group").applyInPandas(decide, "_id long, _u string, done string, n_undecided long, n_covered long")
+    rest = open_.join(hits, "row", "left").select("_id", "_u", "states", "parts", "hits").mapInArrow(decide, "_id long, _u string, done string, n_undecided long, n_covered long")
     return closed.unionByName(rest).select(F.col("_id").alias(key), F.col("_u").alias(url), F.col("done").alias("text"), F.length("done").cast("long").alias("n_chars"), "n_undecided", "n_covered")

@@ -149,6 +149,20 @@ def test_repeated_against_brute_force():
         assert extract.repeated(pages, span) == want
 
 
+def test_hosts_are_not_split(spark):
+    """A substring that two pages of a hot host share is found, whatever the number of its pages."""
+    rng = random.Random(9)
+    text = [[f"u{i}x{k}" for k in range(12)] for i in range(1100)]
+    for i in range(0, 1100, 2):
+        text[i][2:11] = text[i + 1][1:10] = [f"s{i}x{k}" for k in range(9)]
+    pages = list(enumerate(text)) + [(1099, text[3]), (None, text[0]), (None, text[0])]
+    rng.shuffle(pages)
+    df = spark.createDataFrame([(i, "http://hot/", f"<div>{' '.join(t)}</div>") for i, t in pages], "page_id long, url string, html string").repartition(5)
+    marks = extract.repeated([(-1 - n if i is None else i, t) for n, (i, t) in enumerate(pages)])
+    want = sorted((-1 if i is None else i, " ".join(w for w, x in zip(t, m, strict=True) if not x), sum(m)) for (i, t), m in zip(pages, marks, strict=True))
+    assert sorted((-1 if r.page_id is None else r.page_id, r.text, r.n_covered) for r in extract.extract(df).collect()) == want
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
