@@ -9,29 +9,33 @@ order. The band is as wide as the insertions and deletions that a similarity of
 alignment is exact for all pairs that reach it. At 0.8 a sketch is shared with probability about 0.5, so a pair is missed
 by all 20 with probability below 1e-6.
 
-Texts with equal word sequences are one text from the start. In a bucket of texts that share a sketch, each text is
-compared with a few leaders (the one that shares most sketches with others, the smallest id, and two drawn anew in every
-band), not all with all: pairs grow with bucket entries, not with their square. Links give components; then texts of
-one bucket that are still in different components are compared again, with other representatives, until a round finds
-no link. Last, all pairs of texts in different components whose buckets hold several are candidates, but for those that
-their lengths and shared shingle counts rule out exactly (see _rest). There is no cap on bucket sizes or partners.
-
-Defined cases: texts without words (null, empty) are equal only if their raw texts are (null counts as empty) and have no
-near copies; fewer than five words are one shingle; ties in a sketch go to the earlier shingle; repeated rows are copies;
-an empty table gives an empty result; other columns are ignored.
+Texts with equal word sequences are one text from the start. Candidates are worked off in two steps that together cover
+all of them, whatever a bucket's size:
+
+1. Each text of a bucket (the texts that share a sketch) is compared with one stable leader, the text that shares most
+   sketches with others. Members of one group meet the same few leaders in all their buckets, so pairs grow with texts.
+   Links give components. Then each bucket's components that are still apart meet again, one drawn text of each, until
+   a round finds no link.
+2. All pairs of texts in different components whose buckets still hold several are candidates, but for those that their
+   lengths and shared shingles rule out exactly (see _rest). So classes are the closure over all candidate pairs.
+
+Rows have a number of their own, so ids may repeat or be null. Defined cases: texts without words (null, empty) are equal
+only if their raw texts are (null counts as empty) and have no near copies; fewer than five words are one shingle; ties
+in a sketch go to the earlier shingle; repeated rows are copies; of a class the row with the smallest id stays (ids before
+null, then the first row read), one row exactly; class_id is null if all its ids are; texts of more than 2 ** 24 shingles
+are sketched alone, with fewer bits of the random order; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomalign.llm.common import slices_by_bytes, stored
 
 BANDS, PICK, SHINGLE = 20, 3, 5
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-BLOCK = 1024  # texts of one shingle that meet in one task
-_POS = 24  # bits of a sketch entry that hold the position; longer texts are sketched in their first 2 ** 24 shingles' order of hash only
+BLOCK = 1024  # texts of one shingle that meet in one group
 
 
 def _mix(x):
@@ -116,8 +120,9 @@ def sketches(values, counts, bands: int = BANDS, pick: int = PICK):
     """A band key for each text with shingles and each band: (texts, bands) of int64. values: labelled shingles."""
     import numpy as np
 
-    starts, places = (np.cumsum(counts) - counts).astype(np.int64), (1 << _POS) - 1
-    position = np.minimum(np.arange(len(values)) - np.repeat(starts, counts), places).astype(np.uint64)
+    starts = (np.cumsum(counts) - counts).astype(np.int64)
+    places = (1 << max(24, int(counts.max()).bit_length())) - 1  # the low bits hold the position
+    position = (np.arange(len(values)) - np.repeat(starts, counts)).astype(np.uint64)
     out, top = np.empty((len(counts), bands), np.int64), np.uint64(0xFFFFFFFFFFFFFFFF)
     for b in range(bands):
         y = _mix((values ^ np.uint64((b + 1) * _C1 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(_C1))
@@ -137,8 +142,8 @@ def sketches(values, counts, bands: int = BANDS, pick: int = PICK):
     return out
 
 
-def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest of the word sequence, n shingles, band keys, shingles as 32-bit integers) of every row, stored."""
+def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: Column | None = None) -> DataFrame:
+    """(row, id, tag, digest of the word sequence, n shingles, band keys, shingles as 32-bit integers) of every row, stored."""
 
     def run(batches):
         import hashlib
@@ -164,12 +169,13 @@ def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 low = value.astype("<u4")
                 digest = [hashlib.blake2b(words[a : a + c].tobytes(), digest_size=16).digest() if c else b"\0" + hashlib.sha256(raw[i].as_py().encode()).digest()[:15] for i, (a, c) in enumerate(zip(first, count.tolist(), strict=True))]
                 yield pa.record_batch(
-                    [s.column("_id"), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), pa.array([k if x else [] for k, x in zip(keys.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([low[a : a + c].tobytes() for a, c in zip(at, n.tolist(), strict=True)], pa.binary())],
-                    names=["id", "digest", "n", "bands", "shingles"],
+                    [s.column("_id"), s.column("_g"), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), pa.array([k if x else [] for k, x in zip(keys.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([low[a : a + c].tobytes() for a, c in zip(at, n.tolist(), strict=True)], pa.binary())],
+                    names=["id", "tag", "digest", "n", "bands", "shingles"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
-    return stored(rows.mapInArrow(run, "id long, digest binary, n long, bands array<long>, shingles binary"), "omh-texts")
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.lit(0).cast("long").alias("_g") if tag is None else tag.alias("_g"), F.col(text).alias("_t"))
+    read = rows.mapInArrow(run, "id long, tag long, digest binary, n long, bands array<long>, shingles binary")
+    return stored(read.withColumn("row", F.monotonically_increasing_id()), "omh-texts")
 
 
 def alignment(a, b, least: float) -> float:
@@ -229,51 +235,47 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep = np.flatnonzero(found)
             yield pa.record_batch([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], names=["a", "b"])
 
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    # The right side's texts are joined first, so that a leader's text travels once for each of its pairs only at the end.
+    side = lambda c: texts.select(F.col("row").alias(c), F.col("shingles").alias(f"s{c}"))
+    # The right side's texts are joined first, so that a leader's text is put beside each of its pairs only at the end.
     return pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every linked id: the smallest id of its component. Min-label propagation with pointer jumping; each round is a written table."""
+    """(row, part) of every linked row: the smallest row of its component. Min-label propagation with pointer jumping; each round is a written table."""
     both = stored(links.union(links.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("part")).withColumnRenamed("a", "row"), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        new = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("label", "other").alias("label"), F.col("label").alias("was"))
-        up = new.select(F.col("id").alias("p"), F.col("label").alias("up"))
-        new = stored(new.join(up, F.col("label") == F.col("p")).select("id", F.least("label", "up").alias("label"), "was"), "labels")
-        if new.where("label != was").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        near = both.join(labels.select(F.col("row").alias("b"), F.col("part").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        new = labels.join(near, F.col("row") == F.col("a")).select("row", F.least("part", "other").alias("part"), F.col("part").alias("was"))
+        up = new.select(F.col("row").alias("p"), F.col("part").alias("up"))
+        new = stored(new.join(up, F.col("part") == F.col("p")).select("row", F.least("part", "up").alias("part"), "was"), "labels")
+        if new.where("part != was").isEmpty():
+            return new.select("row", "part")
+        labels = new.select("row", "part")
 
 
-def _pairs(rows: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs of a bucket's leaders and its entries. rows: band, id, n, part (its component), weight; one row per entry.
+def _pairs(entries: DataFrame, lead: Column, least: float) -> DataFrame:
+    """Pairs of a bucket's leader and its entries. entries: band, row, n, part (its component); lead: the leader's order, largest first.
 
     Entries of the leader's own component are not compared; the lengths must allow the similarity.
     """
-    drawn = F.xxhash64("id", "band", F.lit(turn))
-    lead = F.struct(F.col("id"), F.col("n"), F.col("part"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(lead, F.struct("weight", -F.col("id"))).alias("l0"), F.min_by(lead, F.col("id")).alias("l1"), F.min_by(lead, drawn).alias("l2"), F.max_by(lead, drawn).alias("l3")).where("p0 != p1")
-    # Leaders of a text's buckets are mostly the same few, so they are made one set for each text before pairs are made.
-    met = rows.join(buckets.select("band", F.array("l0", "l1", "l2", "l3").alias("leads")), "band").groupBy("id", "n", "part").agg(F.array_distinct(F.flatten(F.collect_list("leads"))).alias("leads"))
-    met = met.select("id", "n", "part", F.explode("leads").alias("l"))
-    met = met.where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
-    return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+    leaders = entries.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(F.struct("row", "n", "part"), lead).alias("l")).where("p0 != p1").select("band", "l")
+    met = entries.join(leaders, "band").where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
+    return met.select(F.least("row", "l.row").alias("a"), F.greatest("row", "l.row").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """All pairs of different components that can reach least, of the texts whose buckets still hold several components.
 
-    rows: band, id, n, part. Shingles are made distinct by their occurrence number, so what two texts share is at most the
-    number of labelled shingles they share, and that has to reach least * (n1 + n2) / (1 + least). Labelled shingles have
-    one order: those of a single component first, then the rarer first. Two texts that reach least share one of the first
-    n - least * n + 1 of each, and no more lies behind the first shared one than both have left: an exact prefilter
-    by shingle counts. A shingle of many texts is worked off in salted blocks of about `block` texts.
+    entries: band, row, n, part. Shingles are made distinct by their occurrence number, so what two texts share is at most
+    the number of labelled shingles they share, and that has to reach least * (n1 + n2) / (1 + least). Labelled shingles
+    have one order: those of a single component first, then the rarer first. Two texts that reach least share one of the
+    first n - least * n + 1 of each, and no more lies behind the first shared one than both have left: an exact
+    prefilter by shingle counts. The texts of one shingle meet in groups of about two blocks, whatever their number;
+    a group's pairs are tested where they meet, and only those that pass leave it.
     """
 
-    def run(batches):
+    def units(batches):
         import numpy as np
         import pyarrow as pa
 
@@ -281,59 +283,84 @@ def _rest(rows: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -
             for s in slices_by_bytes(batch, "shingles", 1 << 20):
                 n = s.column("n").to_numpy()
                 values = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in s.column("shingles")]).astype(np.uint64)
-                yield pa.record_batch([pa.array(np.repeat(s.column(c).to_numpy(), n)) for c in ("id", "n", "part")] + [pa.array(labelled(values, n).view(np.int64))], names=["id", "n", "part", "h"])
-
-    loose = rows.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("band")
-    left = rows.hint("merge").join(loose, "band").select("id", "n", "part").distinct()
-    units = stored(left.hint("merge").join(texts, "id").select("id", "n", "part", "shingles").mapInArrow(run, "id long, n long, part long, h long"), "omh-units")
-    common = units.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("h", "c")
-    own = units.hint("merge").join(common, "h").groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+                yield pa.record_batch([pa.array(np.repeat(s.column(c).to_numpy(), n)) for c in ("row", "part")] + [pa.array(labelled(values, n).view(np.int64))], names=["row", "part", "h"])
+
+    mixed = entries.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("band")
+    loose = entries.hint("merge").join(mixed, "band").select("row", "n", "part").distinct()
+    loose = stored(loose.hint("merge").join(texts, "row").select("row", "n", "part", "shingles"), "omh-loose")
+    tokens = loose.mapInArrow(units, "row long, part long, h long")
+    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("h", "c")
+    shared = tokens.select("row", "h").hint("merge").join(common, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    own = shared.join(loose.select("row", "n", "part"), "row")
     first = F.col("n") - F.size("s")  # the place of a text's first shingle that other components have as well
     width = F.col("n") - F.ceil(F.round(least * F.col("n"), 9)) + 1 - first
-    heads = own.where(width > 0).select("id", "n", "part", first.alias("first"), F.posexplode(F.slice("s", F.lit(1), width.cast("int"))).alias("k", "e"))
-    heads = stored(heads.select("id", "n", "part", (F.col("n") - F.col("first") - F.col("k")).alias("rest"), "e.h", F.ceil(F.col("e.c") / block).alias("blocks")), "omh-heads")
-    a = heads.select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "part", "rest")])
-    b = heads.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "part", "rest")])
-    met = a.hint("merge").join(b, ["h", "salt"]).where((F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")))
-    met = met.where(F.least("n_a", "n_b", "rest_a", "rest_b") >= F.ceil(F.round(least * (F.col("n_a") + F.col("n_b")) / (1 + least), 9)))
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    heads = own.where(width > 0).select("row", "n", "part", first.alias("first"), F.posexplode(F.slice("s", F.lit(1), width.cast("int"))).alias("k", "e"))
+    heads = heads.select("e.h", F.struct("row", "n", "part", (F.col("n") - F.col("first") - F.col("k")).alias("rest"), F.pmod(F.xxhash64("row"), F.ceil(F.col("e.c") / block)).alias("salt")).alias("x"), (F.ceil(F.col("e.c") / block) - 1).alias("last"))
+    cells = heads.select("h", "x", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
+    groups = cells.groupBy("h", F.least("x.salt", "other").alias("i"), F.greatest("x.salt", "other").alias("j")).agg(F.min("x.part").alias("p0"), F.max("x.part").alias("p1"), F.collect_list("x").alias("xs")).where("p0 != p1")
 
+    def meet(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """One row per row of docs: key, class_id (the smallest id of its class), class_size, n_texts (different texts in the class), kept."""
+        for batch in batches:
+            lists = batch.column("xs")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            row, n, part, rest, salt = (x.to_numpy() for x in lists.flatten().flatten())
+            apart = np.repeat((batch.column("i").to_numpy() != batch.column("j").to_numpy()), size)
+            end = np.repeat(np.cumsum(size), size)
+            later = end - np.arange(len(row)) - 1  # members of the group behind each
+            until = np.cumsum(later)
+            at = 0
+            while at < len(row):  # about four million pairs at a time
+                to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + (1 << 22), "right")))
+                k = later[at:to]
+                a = np.repeat(np.arange(at, to), k)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+                keep = (part[a] != part[b]) & ((salt[a] != salt[b]) | ~apart[a])  # pairs inside a block meet in its own group
+                a, b = a[keep], b[keep]
+                total = n[a] + n[b]
+                need = np.ceil(np.round(least * total / (1 + least), 9))
+                keep = np.minimum(np.minimum(n[a], n[b]), np.minimum(rest[a], rest[b])) >= need
+                x, y = row[a[keep]], row[b[keep]]
+                if len(x):
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                at = to
+
+    return groups.select("i", "j", "xs").mapInArrow(meet, "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, tag: Column | None = None) -> DataFrame:
+    """One row per row of docs: key, class_id (the smallest id of its class), class_size, n_texts (different texts in the class), kept; tag, if it is given, a long of the row's own."""
     spark = docs.sparkSession
-    texts = read_texts(docs, key, text)
-    groups = stored(texts.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "omh-groups")
-    entries = groups.select("id", "n", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    entries = stored(entries.join(shared, "band"), "omh-entries")
-    weight = entries.groupBy("id").agg(F.sum("c").alias("weight"))
-    rows = entries.drop("c").join(weight, "id")
-    # Only texts that share a sketch can be compared. The ids grow with the input, so they are never broadcast: the plan is
-    # the same at every size.
-    compared = stored(texts.select("id", "shingles").join(weight.select("id").hint("merge"), "id", "left_semi"), "omh-compared")
-
-    links, labels, turn = None, None, 0
-    while True:
-        if labels is None:
-            now = every = rows.withColumn("part", F.col("id"))
-        else:
-            every = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
-            now = every.groupBy("band", "part").agg(F.min_by(F.struct("id", "n", "weight"), F.xxhash64("id", "band", F.lit(turn))).alias("r")).select("band", "part", "r.*")
-        pairs = stored(_pairs(now, turn, least), "omh-pairs")
-        found = stored(verify(pairs, compared, least), "omh-links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
+    texts = read_texts(docs, key, text, tag)
+    first = F.struct(F.col("id").isNull(), "id", "row")  # the order in which rows of a class stay
+    groups = stored(texts.groupBy("digest").agg(F.min("row").alias("row"), F.min(first).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "omh-groups")
+    entries = texts.select("row", "n", "bands").hint("merge").join(groups.select("row"), "row", "left_semi").select("row", "n", F.explode("bands").alias("band"))
+    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    entries = stored(entries.hint("merge").join(sizes, "band"), "omh-entries")
+    weight = stored(entries.groupBy("row").agg(F.sum("c").alias("weight")), "omh-weight")
+    # Only texts that share a sketch can be compared. Their rows grow with the input, so they are never broadcast.
+    compared = stored(texts.select("row", "shingles").hint("merge").join(weight.select("row"), "row", "left_semi"), "omh-compared")
+
+    labels = spark.createDataFrame([], "row long, part long")
+    named = lambda: entries.hint("merge").join(labels, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    alone = entries.hint("merge").join(weight, "row").withColumn("part", F.col("row"))
+    links = found = stored(verify(stored(_pairs(alone, F.struct("weight", -F.col("row")), least), "omh-pairs"), compared, least), "omh-links")
+    turn = 0
+    while not found.isEmpty():
         labels, turn = components(links), turn + 1
-    # No draw finds a link any more; what is left of the buckets is worked off completely.
-    found = stored(verify(stored(_rest(every, compared, least), "omh-rest"), compared, least), "omh-links")
+        # One drawn text of each component of a bucket meets one of the largest component. Buckets of two have met already.
+        drawn = F.xxhash64("row", "band", F.lit(turn))
+        parts = named().where("c > 2").groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("row", "n"), drawn).alias("r")).select("band", "part", "size", "r.*")
+        found = stored(verify(stored(_pairs(parts, F.struct("size", -F.col("part")), least), "omh-pairs"), compared, least), "omh-links")
+        links = links.union(found)
+    found = stored(verify(stored(_rest(named(), compared, least), "omh-rest"), compared, least), "omh-links")
     if not found.isEmpty():
-        labels = components(found if links is None else links.union(found))
-    own = groups.select("digest", "id", "copies")
-    if labels is None:
-        labels = spark.createDataFrame([], "id long, label long")
-    own = own.join(labels, "id", "left").withColumn("class_id", F.coalesce("label", "id"))
-    sizes = own.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    named = own.join(sizes, "class_id").select("digest", "class_id", "class_size", "n_texts")
-    return texts.select("id", "digest").join(named, "digest").select(F.col("id").alias(key), "class_id", "class_size", "n_texts", (F.col("id") == F.col("class_id")).alias("kept"))
+        labels = components(links.union(found))
+    own = groups.join(labels, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    classes = own.groupBy("part").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("stays"))
+    named = own.select("digest", "part").join(classes, "part").select("digest", "class_size", "n_texts", F.col("stays.id").alias("class_id"), F.col("stays.row").alias("_stays"))
+    out = texts.select("id", "tag", "row", "digest").join(named, "digest")
+    return out.select(F.col("id").alias(key), "class_id", "class_size", "n_texts", (F.col("row") == F.col("_stays")).alias("kept"), *(["tag"] if tag is not None else []))

@@ -137,3 +137,45 @@ def test_pairs_inside_a_loose_bucket(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in omh.near_classes(df).collect()}
     assert n / 4 < len(set(label.tolist())) < n and [got[i] for i in range(n)] == label.tolist()
+
+
+def test_closure_over_variants_of_one_text(spark):
+    """Many texts of one base: the classes are those of all pairs."""
+    n = 400
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    base, texts = [rng.choice(words) for _ in range(120)], []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(w))
+    number: dict = {}
+    s = [np.array([number.setdefault(g, len(number)) for g in brute_shingles(t)], "<u4") for t in texts]
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if label[i] != label[j] and omh.alignment(s[i], s[j], 0.8):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in omh.near_classes(df).collect()}
+    assert [got[i] for i in range(n)] == label and 1 < len(set(label)) < n
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    """One row of a class stays, whatever the ids; rows with one id and different texts are judged apart."""
+    long = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, long), (1, other), (1, other + " x"), (None, long), (None, "solo text of its own words here"), (2, None), (2, ""), (None, long + " y")]
+    df = spark.createDataFrame([(*r, 0, "c") for r in rows], "doc_id long, text string, row long, part string").coalesce(1)
+    got = [(r.doc_id, r.class_id, r.class_size, r.n_texts, r.kept) for r in omh.near_classes(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 3, 2, True), (1, 1, 2, 2, True), (1, 1, 2, 2, False), (None, 1, 3, 2, False), (None, None, 1, 1, True), (2, 2, 2, 1, True), (2, 2, 2, 1, False), (None, 1, 3, 2, False)], key=str)
+
+
+def test_sketches_of_very_long_texts():
+    """Beyond 2 ** 24 shingles positions still count: the order of the picks is the text's."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 62, (1 << 24) + 9).astype(np.uint64)
+    same = omh.sketches(np.concatenate([v, v]), np.array([len(v)] * 2), bands=2)
+    assert (same[0] == same[1]).all() and (omh.sketches(v[::-1].copy(), np.array([len(v)]), bands=2) != same[:1]).all()
