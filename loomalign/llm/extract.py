@@ -1,16 +1,20 @@
-"""Main text of web pages, with suffix groups over each host's pages for what structure leaves open.
+"""Main text of web pages: each host's repeated spans, where structure leaves a block open.
 
 A page is cut into blocks. Structure decides where it speaks: what lies in a menu, header, footer, sidebar, notice,
-advert, form, comment list, script or style (by element or by class, id or role) is boilerplate; what lies in article or
-main is text. Blocks that neither covers are undecided. The suffixes of a host's undecided token streams are grouped by
-their first SPAN tokens, over the whole host, and substrings of that length that occur on two distinct pages or more mark
-the tokens they cover. Covered tokens are boilerplate; unique runs stay. repeated() does the same in memory.
-
-Repetition does not overrule structure: an article that is repeated on a host (copies, quoted passages, licence lines)
-stays whole, since the contract keeps all of the article.
-
-Defined cases: null html is empty and gives the empty text; repeated rows of one page id count as one page, and every row
-gets a result; a null url is a host of its own; an empty table gives an empty result; other columns are ignored.
+advert, form, comment list, script or style (by element, or by a whole class, id or role name) is boilerplate; what lies
+in article or main is text. A wrapper that only its class names as boilerplate does not hide an article or main in it, if
+the page has no other. Blocks that neither covers are open, and the host's suffix groups decide them: a page's open and
+boilerplate blocks are its token streams (unbroken across blocks, broken by article text); their suffixes are grouped by
+their first SPAN tokens over the whole host, and substrings of that length that two distinct pages hold mark the tokens
+they cover. Covered tokens of open blocks go; unique runs stay. repeated() does the same in memory.
+
+Repetition does not overrule article and main: an article that is repeated on a host (copies, quoted passages, licence
+lines) stays whole. Pages with equal text and open blocks are copies and count as one page, so that copies do not erase
+each other.
+
+Defined cases: null html is empty and gives the empty text; rows of one page id count as one page, and every row gets a
+result; a null id is a page of its own; a null url is a host of its own; a page of any length is one row's work; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,23 +46,36 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure f
 
 
 _HEADS = frozenset("header masthead banner topbar".split())  # inside an article these hold its title
+_ROLES = frozenset("contentinfo complementary search navigation banner dialog alert".split())
+_NOT = frozenset("no not has with without is hide show".split())  # no-sidebar, has-comments: said of something else
+_PLACE = frozenset("left right top bottom main wrap wrapper box container inner outer area list section block bar links items content group primary secondary".split())
+
 
+def _names_part(name: str, inside: bool) -> bool:
+    """Is a whole class or id name that of a page part? Of compounds the last word counts (cookie-notice), or the first before words of place (sidebar-left)."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    part = lambda w: w in _PARTS and not (inside and w in _HEADS)
+    if not words or words[0] in _NOT:
+        return False
+    return part(words[-1]) or part(words[0]) and all(w in _PLACE or w.isdigit() for w in words[1:])
 
-def _is_part(attributes: str, inside: bool = False) -> bool:
+
+def _is_part(element: str, attributes: str, inside: bool = False) -> bool:
     for name, a, b, c in _NAMES.findall(attributes):
         name, value = name.lower(), (a or b or c or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id", "role", "itemprop"):
-            if value in ("contentinfo", "complementary", "search", "navigation", "banner", "dialog", "alert"):
-                return True
-            if any(w in _PARTS and not (inside and w in _HEADS) for w in re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id", "itemprop"):
+            if element in _IN:  # only a whole name of one word (comment, ad) says what an article is
+                if any(w in _PARTS and w not in _HEADS for w in value.split()):
+                    return True
+            elif any(_names_part(w, inside) for w in value.split()):
                 return True
     return False
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(state, text) of each block in page order; state 1: text by structure, 0: undecided, -1: boilerplate."""
+    """(state, text) of each block in page order; state 1: text by structure, 0: open, -1: boilerplate."""
     page = page or ""
     out: list[tuple[int, str]] = []
     buffer: list[str] = []
@@ -137,10 +154,14 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 mark = None
         new = state
         if state >= 0:
-            if name in _OUT or name == "header" and state == 0 or _is_part(m[3], state == 1) and name not in ("html", "body"):
+            if name in _OUT or name == "header" and state == 0:
                 new = -1
+            elif _is_part(name, m[3], state > 0) and name not in ("html", "body"):
+                new = -2
             elif name in _IN:
-                new = 1
+                new = max(1, state)
+        elif state == -2 and name in _IN and not _is_part(name, m[3]):
+            new = 2
         if m[3].rstrip().endswith("/") and name not in _INLINE and name not in ("div", "p", "article", "main", "section", "span"):
             continue
         if new != state and name in _INLINE:
@@ -148,7 +169,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         stack.append((name, new))
         state = new
     flush()
-    return out
+    own = any(x == 1 for x, _ in out)  # -2: boilerplate by its class; 2: an article in such a wrapper
+    return [((-1 if own else 1) if x == 2 else max(x, -1), text) for x, text in out]
 
 
 def repeated(pages: list[tuple[int, list[str]]], span: int = SPAN) -> list[list[bool]]:
@@ -190,68 +212,94 @@ def repeated(pages: list[tuple[int, list[str]]], span: int = SPAN) -> list[list[
     return [x.tolist() for x in np.split(covered, np.cumsum(lengths)[:-1])]
 
 
-def _streams(states: list[int], parts: list[str]) -> list[list[str]]:
-    """The token streams of a page's undecided blocks, one for each block."""
-    return [t.split(" ") for x, t in zip(states, parts, strict=True) if not x]
+def streams(found: list[tuple[int, str]]) -> list[list[str]]:
+    """The token streams of a page's open and boilerplate blocks; article text breaks a stream."""
+    out: list[list[str]] = [[]]
+    for x, text in found:
+        if x == 1:
+            out.append([])
+        else:
+            out[-1] += text.split(" ")
+    return [x for x in out if x]
+
+
+def decided(found: list[tuple[int, str]], marks: set[int]) -> str:
+    """Text of a page: article blocks whole, open blocks without the covered tokens; marks: covered places in its streams, one after the other."""
+    at, kept = 0, []
+    for x, text in found:
+        if x == 1:
+            kept.append(text)
+            continue
+        words = text.split(" ")
+        own = " ".join(w for k, w in enumerate(words, at) if k not in marks) if x == 0 else ""
+        at += len(words)
+        if own:
+            kept.append(own)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN) -> DataFrame:
-    """One row per row of pages: id, url, text, n_chars, n_undecided (blocks that structure left open), n_covered (their tokens removed).
+    """One row per row of pages: id, url, text, n_chars, n_open (blocks that structure left open), n_covered (tokens of its streams that are repeated).
 
-    Pages without undecided blocks are done where they are read. Of the rest, the spans of a whole host are summed up by
-    (host, digest of the span), before and after they are dealt out, and only covered places go back to the pages: no
-    task holds a host, and no host is split.
+    Pages without open blocks are done where they are read; they have no streams (n_covered is 0). Of the rest, the spans
+    of a whole host are summed up by (host, digest of the span), before and after they are dealt out, and only covered
+    places go back to the pages: no task holds a host, and no host is split.
     """
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_u"), F.col(html).alias("_h"))
 
     def cut(batches):
-        import uuid
+        import hashlib
 
         import pyarrow as pa
 
-        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("row", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string()))])
+        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string())), ("copy", pa.binary())])
         for batch in batches:
             for s in slices(batch):
-                done, states, parts, row, name = [], [], [], [], uuid.uuid4().hex
-                for i, h in enumerate(s.column("_h").to_pylist()):
-                    found = [b for b in blocks(h) if b[0] >= 0]
+                done, states, parts, copy = [], [], [], []
+                for h in s.column("_h").to_pylist():
+                    found = blocks(h)
                     if all(x for x, _ in found):
-                        done.append("\n".join(t for _, t in found))
+                        done.append("\n".join(t for x, t in found if x > 0))
                         states.append(None)
                         parts.append(None)
-                        row.append(None)
+                        copy.append(None)
                     else:
                         done.append(None)
                         states.append([x for x, _ in found])
                         parts.append([t for _, t in found])
-                        row.append(f"{name}-{i}")
-                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(row, pa.string()), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string()))], schema=kind)
+                        copy.append(hashlib.blake2b("\n".join(t for x, t in found if x >= 0).encode(), digest_size=16).digest())
+                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string())), pa.array(copy, pa.binary())], schema=kind)
 
-    first = stored(rows.mapInArrow(cut, "_id long, _u string, row string, done string, states array<tinyint>, parts array<string>"), "blocks")
+    first = stored(rows.mapInArrow(cut, "_id long, _u string, done string, states array<tinyint>, parts array<string>, copy binary").withColumn("row", F.monotonically_increasing_id()), "blocks")
     open_ = first.where(F.col("done").isNull()).withColumn("host", F.coalesce(F.lower(F.regexp_extract("_u", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    open_ = open_.withColumn("page", F.coalesce(F.col("_id").cast("string"), "row"))  # a row without an id is a page of its own
 
     def spans(batches):
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for s in slices(batch, 16):
-                out = [[], [], [], [], []]
-                for host, page, row, states, parts in zip(*[s.column(c).to_pylist() for c in ("host", "page", "row", "states", "parts")], strict=True):
-                    at = 0
-                    for w in _streams(states, parts):
-                        for k in range(len(w) - span + 1):
-                            for x, v in zip(out, (host, page, row, hashlib.blake2b(" ".join(w[k : k + span]).encode(), digest_size=16).digest(), at + k), strict=True):
-                                x.append(v)
-                        at += len(w)
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32()), strict=True)], names=["host", "page", "row", "h", "at"])
-
-    units = stored(open_.select("host", "page", "row", "states", "parts").mapInArrow(spans, "host string, page string, row string, h binary, at int"), "spans")
-    shared = units.groupBy("host", "h").agg(F.min("page").alias("p0"), F.max("page").alias("p1")).where("p0 != p1")
-    shared = shared.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a span of all pages of a hot host is joined in parts
-    hits = units.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(shared, ["host", "h", "salt"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
+                found, page, twin, row, at = [], [], [], [], []
+                for host, i, r, copy, states, parts in zip(*[s.column(c).to_pylist() for c in ("host", "_id", "row", "copy", "states", "parts")], strict=True):
+                    begin = 0
+                    for w in streams(list(zip(states, parts, strict=True))):
+                        n = max(0, len(w) - span + 1)
+                        found += [hashlib.blake2b("\0".join([host, *w[k : k + span]]).encode(), digest_size=16).digest() for k in range(n)]
+                        at += range(begin, begin + n)
+                        page += [f"{i}" if i is not None else f"r{r}"] * n
+                        twin += [int.from_bytes(copy[:8], "little", signed=True)] * n
+                        row += [r] * n
+                        begin += len(w)
+                h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(page, pa.string()), pa.array(twin, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int32())], names=["h1", "h2", "page", "twin", "row", "at"])
+
+    units = stored(open_.mapInArrow(spans, "h1 long, h2 long, page string, twin long, row long, at int"), "spans")
+    # Two pages differ in id and in content; where a span has two ids and two contents, two such pages exist.
+    shared = units.groupBy("h1", "h2").agg(F.min("page").alias("p0"), F.max("page").alias("p1"), F.min("twin").alias("t0"), F.max("twin").alias("t1")).where("p0 != p1 and t0 != t1")
+    shared = shared.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a span of all pages of a hot host is joined in parts
+    hits = units.select("h1", "h2", "row", "at", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt")).join(shared, ["h1", "h2", "salt"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
 
     def decide(batches):
         import pyarrow as pa
@@ -261,21 +309,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 texts, opened, covered = [], [], []
                 for states, parts, hits in zip(*[s.column(c).to_pylist() for c in ("states", "parts", "hits")], strict=True):
                     marks = {k for h in hits or () for k in range(h, h + span)}
-                    at, kept = 0, []
-                    for x, t in zip(states, parts, strict=True):
-                        if x:
-                            kept.append(t)
-                            continue
-                        w = t.split(" ")
-                        own = " ".join(a for k, a in enumerate(w, at) if k not in marks)
-                        at += len(w)
-                        if own:
-                            kept.append(own)
-                    texts.append("\n".join(kept))
-                    opened.append(sum(not x for x in states))
+                    texts.append(decided(list(zip(states, parts, strict=True)), marks))
+                    opened.append(states.count(0))
                     covered.append(len(marks))
-                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(texts, pa.string()), pa.array(opened, pa.int64()), pa.array(covered, pa.int64())], names=["_id", "_u", "done", "n_undecided", "n_covered"])
+                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(texts, pa.string()), pa.array(opened, pa.int64()), pa.array(covered, pa.int64())], names=["_id", "_u", "done", "n_open", "n_covered"])
 
-    closed = first.where(F.col("done").isNotNull()).select("_id", "_u", "done", F.lit(0).cast("long").alias("n_undecided"), F.lit(0).cast("long").alias("n_covered"))
-    rest = open_.join(hits, "row", "left").select("_id", "_u", "states", "parts", "hits").mapInArrow(decide, "_id long, _u string, done string, n_undecided long, n_covered long")
-    return closed.unionByName(rest).select(F.col("_id").alias(key), F.col("_u").alias(url), F.col("done").alias("text"), F.length("done").cast("long").alias("n_chars"), "n_undecided", "n_covered")
+    closed = first.where(F.col("done").isNotNull()).select("_id", "_u", "done", F.lit(0).cast("long").alias("n_open"), F.lit(0).cast("long").alias("n_covered"))
+    rest = open_.join(hits, "row", "left").select("_id", "_u", "states", "parts", "hits").mapInArrow(decide, "_id long, _u string, done string, n_open long, n_covered long")
+    return closed.unionByName(rest).select(F.col("_id").alias(key), F.col("_u").alias(url), F.col("done").alias("text"), F.length("done").cast("long").alias("n_chars"), "n_open", "n_covered")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zipfile
 import zlib
+from html.parser import HTMLParser
 from io import BytesIO
 
 import numpy as np
@@ -123,13 +124,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{a:b}</styl
 
 def test_extract(spark):
     shared = "one two three four five six seven eight nine"
-    loose = [f"<div>{shared}</div><p>own {i} words</p>" for i in range(3)]
+    loose = [f"<div>{shared}</div><p>u{i} words</p>" for i in range(3)]
     pages = [(1, "http://h/1", PAGE), (2, "http://h/2", None), (3, "http://h/3", ""), (4, None, "<p>plain"), (5, "http://h/5", "<article><p>cut &am"), (6, "http://h/6", "<article>kept <a hre"), (7, "http://h/7", "no tags at all <3 &#233;")] + [(10 + i, "https://k.org/x", t) for i, t in enumerate(loose)] + [(20, "http://h/20", f"<article><p>{shared}</p></article>"), (21, "http://h/21", f"<article><p>{shared}</p></article>")]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, text string").repartition(3)
     got = {r.page_id: r for r in extract.extract(df).collect()}
     assert got[1].text == "A <b> title\nBold text.\nSecond é x © 1 < 2\nThird end\ni1\ni2".replace("©", "&copy;")
     assert [got[i].text for i in (2, 3, 4, 5, 6, 7)] == ["", "", "plain", "cut &am", "kept", "no tags at all <3 é"]
-    assert [got[10 + i].text for i in range(3)] == [f"own {i} words" for i in range(3)] and got[10].n_covered == 9
+    assert [got[10 + i].text for i in range(3)] == [f"u{i} words" for i in range(3)] and got[10].n_covered == 9
     assert got[20].text == got[21].text == shared and got[20].n_chars == len(shared) and got[20].url == "http://h/20"
     assert extract.extract(df.limit(0)).count() == 0
 
@@ -149,18 +150,95 @@ def test_repeated_against_brute_force():
         assert extract.repeated(pages, span) == want
 
 
+def brute_extract(rows, span=8):
+    """(text, covered tokens) of each (id, host, html): spans of two pages that differ in id and in content."""
+    found = [extract.blocks(h) for _, _, h in rows]
+    seen = {}
+    for n, ((i, host, _), b) in enumerate(zip(rows, found, strict=True)):
+        if any(x == 0 for x, _ in b):
+            page = (("row", n) if i is None else i, "\n".join(t for x, t in b if x >= 0))
+            for w in extract.streams(b):
+                for k in range(len(w) - span + 1):
+                    seen.setdefault((host, *w[k : k + span]), set()).add(page)
+    out = []
+    for (_, host, _), b in zip(rows, found, strict=True):
+        marks, at = set(), 0
+        for w in extract.streams(b) if any(x == 0 for x, _ in b) else ():
+            for k in range(len(w) - span + 1):
+                pages = seen[host, *w[k : k + span]]
+                if any(p != q and c != d for p, c in pages for q, d in pages):
+                    marks |= set(range(at + k, at + k + span))
+            at += len(w)
+        out.append((extract.decided(b, marks), len(marks)))
+    return out
+
+
 def test_hosts_are_not_split(spark):
-    """A substring that two pages of a hot host share is found, whatever the number of its pages."""
+    """A substring that two pages of a hot host share is found, whatever the number of its pages and the blocks it lies in."""
     rng = random.Random(9)
     text = [[f"u{i}x{k}" for k in range(12)] for i in range(1100)]
     for i in range(0, 1100, 2):
         text[i][2:11] = text[i + 1][1:10] = [f"s{i}x{k}" for k in range(9)]
-    pages = list(enumerate(text)) + [(1099, text[3]), (None, text[0]), (None, text[0])]
+    cut = lambda t, n: f"<div>{' '.join(t[:n])}</div><p>{' '.join(t[n:])}</p>"
+    pages = [(i, "hot", cut(t, rng.randrange(12))) for i, t in enumerate(text)] + [(1099, "hot", cut(text[3], 5)), (None, "hot", cut(text[0], 4)), (None, "hot", cut(text[0], 4))]
+    menu = "<ul><li>a b</li><li>c</li><li>d e f</li><li>g h i</li></ul>"
+    pages += [(2000 + i, "b", f"{menu if i % 2 else '<nav>' + menu + '</nav>'}<article>x {i} y</article><div>own {i}</div>") for i in range(5)] + [(2005, "c", f"{menu}<p>alone"), (2006, "d", f"{menu}<p>twin"), (2007, "d", f"{menu}<p>twin")]
     rng.shuffle(pages)
-    df = spark.createDataFrame([(i, "http://hot/", f"<div>{' '.join(t)}</div>") for i, t in pages], "page_id long, url string, html string").repartition(5)
-    marks = extract.repeated([(-1 - n if i is None else i, t) for n, (i, t) in enumerate(pages)])
-    want = sorted((-1 if i is None else i, " ".join(w for w, x in zip(t, m, strict=True) if not x), sum(m)) for (i, t), m in zip(pages, marks, strict=True))
-    assert sorted((-1 if r.page_id is None else r.page_id, r.text, r.n_covered) for r in extract.extract(df).collect()) == want
+    df = spark.createDataFrame([(i, f"http://{h}/", t) for i, h, t in pages], "page_id long, url string, html string").repartition(5)
+    want = sorted((str(i), *x) for (i, _, _), x in zip(pages, brute_extract(pages), strict=True))
+    assert sorted((str(r.page_id), r.text, r.n_covered) for r in extract.extract(df).collect()) == want
+    got = {i: x for i, *x in want}
+    assert got["2001"] == ["x 1 y\nown 1", 9] and got["2005"][0].endswith("alone") and got["2006"] == got["2007"] and got["2006"][0].endswith("twin")
+
+
+def test_class_names_are_read_whole():
+    """A part's name inside another word, or said of something else, hides nothing; a wrapper does not hide the only article."""
+    keep = ['<div class="content no-sidebar"><article>kept words</article></div>', '<article class="has-comments">kept words</article>', '<main><div class="copyright-law story">kept words</div></main>', '<div class="social-studies-article"><article>kept words</article></div>', '<div class="sidebar"><article>kept words</article></div>', '<div id="comments-page"><main>kept words</main></div>']
+    for page in keep:
+        assert extract.blocks(page) == [(1, "kept words")], page
+    drop = ["cookie-notice", "ad banner", "site_footer", "post-comments", "sidebar-left", "main-menu", "Comment"]
+    for name in drop:
+        assert extract.blocks(f'<article>a<div class="{name}">no</div></article>') == [(1, "a"), (-1, "no")], name
+    assert extract.blocks('<div class="related"><article>teaser</article></div><article>text</article>') == [(-1, "teaser"), (1, "text")]
+    assert extract.blocks('<article>text</article><article class="comment">reply</article>') == [(1, "text"), (-1, "reply")]
+
+
+class Reader(HTMLParser):
+    """The article's blocks of well-formed pages, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out, self.now = False, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.now = []
+        if text and self.inside:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.cut()
+            self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.cut()
+            self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+
+def test_extract_query_against_another_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in QUERIES["op10_host_suffix"](spark, SF).collect()}
+    for i, h in pages.items():
+        reader = Reader()
+        reader.feed(h or "")
+        assert got[i] == "\n".join(reader.out), i
 
 
 def test_quality_on_held_out_rows(spark):
