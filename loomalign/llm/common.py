@@ -104,23 +104,26 @@ class ChunkTokenizer:
 
     mode "drop": white space is dropped by the pre-tokenizer and text is lower-cased (word_bpe_49k); words are cut at
     ASCII white space.
+    ordinary: special tokens' strings in a text are ordinary text; else, as by default in the library, they are the special
+    tokens, and texts that hold one are encoded whole.
     mode "lead": a single space leads the word that follows and a single newline stands alone (byte_bpe_50k). Texts with
     two white-space characters in a row, or with other kinds of white space, are encoded whole by the library.
     """
 
-    def __init__(self, path: str, mode: str, limit: int = 450_000):
+    def __init__(self, path: str, mode: str, limit: int = 450_000, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = ordinary
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.mode, self.limit, self.young, self.old = mode, limit, {}, {}
         self._odd = "[ \\n][ \\n]|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-        self._one = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-^`{-~]+")
-        self._solid = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\Z")
+        self._one = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[!-&(-/:-@\[-^`{-~]+")
+        self._solid = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]\Z")  # not U+0130, whose lower case is two characters
+        self._special = "|".join(re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()) if not ordinary else ""
         self._bytes = _byte_letters()
         self._code = "H" if self.dtype.itemsize == 2 else "I"
 
@@ -158,12 +161,13 @@ class ChunkTokenizer:
         lead = self.mode == "lead"
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = {}
-        if lead:
-            odd = pc.match_substring_regex(texts, self._odd)
+        if patterns := [x for x in (self._special, self._odd if lead else "") if x]:
+            odd = pc.match_substring_regex(texts, "|".join(patterns))
             for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
                 whole[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
             if whole:
                 texts = pc.if_else(odd, "", texts)
+        if lead:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         else:
             lists = pc.ascii_split_whitespace(texts)

@@ -1,11 +1,13 @@
 """Operators 1, 2, 4 and 5 against brute force on odd and on real texts."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from loomalign.llm import cuckoo, packing, repair, secrets
 from loomalign.llm.common import ChunkTokenizer, shared_path
@@ -61,23 +63,35 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert [r.rules for r in secrets.read_ledger(spark, where).collect()].count(["pin@1"]) == 3
 
 
+def fuzz(rng, n):
+    """Texts of odd characters: letters of many scripts, marks, white space, special strings."""
+    some = ["İ", "aİb", "İ!", "<|endoftext|>", "<|startoftext|>", "<|end", "|>", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "it", "ß", "é", "e\u0301", "\u0345", "ǅ", "ŉ", "١٢", "12", "日本", "😀", "_", "--", "."]
+    for _ in range(n):
+        yield "".join(rng.choice(some) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), rng.randrange(0x3000, 0xD7FF)])) for _ in range(rng.randrange(1, 30)))
+
+
+@pytest.mark.parametrize("ordinary", [False, True])
 @pytest.mark.parametrize(("name", "mode"), [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "lead")])
-def test_chunks_encode_as_whole_texts(spark, name, mode):
-    tok = ChunkTokenizer(tokenizer_path(name), mode)
-    rows = texts(spark)
+def test_chunks_encode_as_whole_texts(spark, name, mode, ordinary):
+    tok, own = ChunkTokenizer(tokenizer_path(name), mode, ordinary=ordinary), Tokenizer.from_file(tokenizer_path(name))
+    own.encode_special_tokens = ordinary
+    rows = texts(spark) + ["<|endoftext|> a", "İ", "aİb", "x İ, y"] + list(fuzz(random.Random(6), 4000))
     for t, got in zip(rows, tok.encode(rows), strict=True):
-        assert np.frombuffer(got, tok.dtype).tolist() == tok.tok.encode(t or "", add_special_tokens=False).ids, t
+        assert np.frombuffer(got, tok.dtype).tolist() == own.encode(t or "", add_special_tokens=False).ids, t
+    assert ordinary or own.encode("<|endoftext|>").ids == [tok.tok.token_to_id("<|endoftext|>")]
 
 
 def whole_ids(name, rows):
-    tok = ChunkTokenizer(tokenizer_path(name), "drop").tok
+    """By the library alone, as it is loaded."""
+    tok = Tokenizer.from_file(tokenizer_path(name))
     return [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in rows]
 
 
 def test_repair(spark):
     rows = texts(spark)
     want = whole_ids("word_bpe_49k.json", rows)
-    manifest = repair.write_shards(frame(spark, rows), shared_path(spark, "shards"), tokenizer_path("word_bpe_49k.json"), shard_tokens=20_000)
+    df = frame(spark, rows).selectExpr("*", "1 as start", "'x' as n_tokens", "2 as _id", "3 as _t")
+    manifest = repair.write_shards(df, shared_path(spark, "shards"), tokenizer_path("word_bpe_49k.json"), shard_tokens=20_000)
     got = {r.doc_id: r for r in repair.read_shards(manifest).collect()}
     at = 0
     for i, ids in enumerate(want):
@@ -88,15 +102,59 @@ def test_repair(spark):
     assert repair.read_shards(empty).count() == 0
 
 
+def test_repair_with_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (0, None)]
+    manifest = repair.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), shared_path(spark, "shards"), tokenizer_path("word_bpe_49k.json"))
+    got = repair.read_shards(manifest).collect()
+    want = [(i, x.tobytes()) for (i, _), x in zip(rows, whole_ids("word_bpe_49k.json", [t for _, t in rows]), strict=True)]
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=str) == sorted(want, key=str)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+def shard_of(docs, base):
+    data, _ = repair.shard_bytes(np.concatenate(docs), range(len(docs)), [len(d) for d in docs], base)
+    read = []
+
+    def read_at(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    return repair.Shard(read_at), read, len(data)
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(1)
-    docs = [np.append(rng.choice([5, 6, 7, 7, 7], n), 1) for n in (0, 1, 40, 700, 3)] + [np.array([7] * 50 + [1])]
-    shard = repair.Shard(repair.shard_bytes(np.concatenate(docs), range(6), [len(d) for d in docs], 100))
-    assert len(shard.rules)
+    docs = [np.append(rng.choice([5, 6, 7, 7, 7], n), 1) for n in (0, 1, 40, 700, 3)] + [np.array([7] * 50 + [1]), np.append(rng.integers(0, 100, 9000), 1)]
+    shard, read, size = shard_of(docs, 100)
+    assert len(shard.rules) and [x.tolist() for x in shard.documents(0, 7)] == [d.tolist() for d in docs]
     for i, d in enumerate(docs):
-        assert shard.document(i).tolist() == d.tolist()
+        assert shard.documents(i, i + 1)[0].tolist() == d.tolist()
         for a in range(0, len(d), 7):
             assert shard.tokens(i, a, min(len(d), a + 11)).tolist() == d[a : a + 11].tolist()
+    read.clear()
+    shard.tokens(3, 10, 20)
+    assert sum(read) < 1500 < size / 8
+
+
+def test_repair_leaves_no_frequent_pair():
+    """Rounds go on until no pair inside a document has 64 occurrences that do not overlap."""
+    rng = np.random.default_rng(2)
+    noise = [rng.integers(10, 3000, 3000) for _ in range(20)]
+    docs = [np.append(np.concatenate([np.tile([1, 2, 3, 4], 500), x, [9] * 400]), 0) for x in noise] + [rng.zipf(1.3, 60_000) % 5000]
+    s, rules, first = repair.compress(np.concatenate(docs), np.cumsum([len(d) for d in docs]), 5000)
+    last = np.append(first[1:], len(s)) - 1
+    count, taken, ends = {}, {}, set(last.tolist())
+    for i in range(len(s) - 1):
+        p = (int(s[i]), int(s[i + 1]))
+        if taken.get(p) != i - 1 and i not in ends:
+            count[p] = count.get(p, 0) + 1
+            taken[p] = i
+    assert max(count.values()) < 64 and len(rules) > 20
+    shard, _, _ = shard_of(docs, 5000)
+    assert all(x.tolist() == d.tolist() for x, d in zip(shard.documents(0, len(docs)), docs, strict=True))
 
 
 def test_exact_groups(spark):
@@ -134,7 +192,7 @@ def test_index_over_batches(spark):
 def test_pack(spark):
     rows = texts(spark)
     want = whole_ids("byte_bpe_50k.json", rows)
-    pieces = packing.pack(frame(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect()
+    pieces = packing.pack(frame(spark, rows).selectExpr("*", "1 as start", "'x' as n", "2 as _id", "3 as _t", "4 as part"), tokenizer_path("byte_bpe_50k.json")).collect()
     seen, sequences = {}, {}
     for p in pieces:
         seen.setdefault(p.doc_id, []).append((p.start, p.length))
