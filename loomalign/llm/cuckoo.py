@@ -4,10 +4,12 @@ The index has B buckets by digest. A bucket holds a cuckoo filter (16-bit finger
 the stored keys: full SHA-256 digest, byte length, the row that stays and the number of live rows. A filter miss is a
 new digest for certain; a hit is verified against the bucket's stored keys; an insertion that finds no place makes the
 filter twice as large and refills it from the stored keys. Deletion lowers the live count and removes the fingerprint
-when no live row is left.
+when no live row is left; where the row that stays is deleted, the smallest of the rows still live takes its place.
+Buckets are as many as keep each near BUCKET_ROWS rows, whatever the input's size.
 
 Defined cases: null text counts as empty, so null and empty rows form one group; of equal texts the smallest id stays;
-repeated rows count each; an empty table gives an empty result; other columns are ignored.
+ids may be null (they come after all others) or repeat; repeated rows count each, and `kept` holds for every row with the id
+that stays; a text of any length is one row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from loomalign.llm.common import shuffle_width, stored
 
 SLOTS, KICKS = 4, 200
+BUCKET_ROWS = 100_000
+NO_ID = (1 << 63) - 1  # a null id in the index: after all others
 INDEX_SCHEMA = "bucket int, keys binary, lengths binary, keep binary, live binary, cells binary, grown int"
 
 
@@ -107,7 +111,7 @@ class Bucket:
             size *= 2
 
     def delete(self, digest: bytes, length: int, n: int = 1) -> bool:
-        """The row that stays is kept as it is while live rows remain; False if there is no such key."""
+        """False if there is no such key. The row that stays is set anew by heir(), if it is among the deleted ones."""
         key = (digest, length)
         if digest not in self.filter or key not in self.keys:
             return False
@@ -119,6 +123,11 @@ class Bucket:
             self.filter.delete(digest)
         return True
 
+    def heir(self, digest: bytes, length: int, row: int) -> None:
+        """The smallest row that is still live."""
+        if (old := self.keys.get((digest, length))) is not None:
+            self.keys[digest, length] = (row, old[1])
+
     def pack(self) -> dict:
         import numpy as np
 
@@ -141,10 +150,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest in hex, bytes) of every row, without the text."""
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, digest in hex, bytes) of every row, without the text; and the row's tag, if it is given."""
     t = normalised(F.col(text))
-    return docs.select(F.col(key).cast("long").alias("_id"), t.alias("_t")).select("_id", F.sha2("_t", 256).alias("_d"), F.octet_length("_t").cast("long").alias("_n"))
+    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_id"), t.alias("_t"), *([tag.alias("_g")] if tag is not None else []))
+    return own.select("_id", F.sha2("_t", 256).alias("_d"), F.octet_length("_t").cast("long").alias("_n"), *(["_g"] if tag is not None else []))
 
 
 def bucket_of(digest: Column, buckets: int) -> Column:
@@ -179,27 +189,33 @@ def gathered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_d string, _n long, _id long, _c long")
 
 
-def update_index(rows: DataFrame, index: DataFrame | None = None, removed: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """The index after inserting rows (from digests()) and then deleting removed; INDEX_SCHEMA, one row a bucket.
+def update_index(rows: DataFrame, index: DataFrame | None = None, removed: DataFrame | None = None, live: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """The index after inserting rows and then deleting removed (all from digests()); INDEX_SCHEMA, one row a bucket.
 
-    buckets: must stay the same over an index's life; choose it so that a bucket's keys fit a task (default: the
-    number of shuffle partitions).
+    live: digests() of all rows that are left; needed with removed, to find the next row to stay. buckets must stay the
+    same over an index's life (default: by the number of rows; choose it for the size that the index will have).
     """
-    buckets = buckets or shuffle_width(rows.sparkSession)
+    if removed is not None and live is None:
+        raise ValueError("rows can be removed only if the rows that are left are given")
+    buckets = buckets or max(shuffle_width(rows.sparkSession), rows.count() // BUCKET_ROWS + 1)
     add = gathered(rows)
     if removed is not None:
         add = add.unionByName(gathered(removed).withColumn("_c", -F.col("_c")))
+        left = live.join(removed.select("_d", "_n").distinct(), ["_d", "_n"], "left_semi").groupBy("_d", "_n").agg(F.min("_id").alias("_id"))
+        add = add.unionByName(left.withColumn("_c", F.lit(0).cast("long")))
     add = add.withColumn("bucket", bucket_of(F.col("_d"), buckets))
 
     def merge(state, changes):
         import pandas as pd
 
         b = Bucket.unpack(state) if state else Bucket()
-        for d, n, i, c in sorted(changes, key=lambda x: (x[3] < 0, x[2])):
+        for d, n, i, c in sorted(changes, key=lambda x: ((1, -1, 0).index((x[3] > 0) - (x[3] < 0)), x[2])):
             if c > 0:
                 b.insert(bytes.fromhex(d), n, i, c)
-            else:
+            elif c < 0:
                 b.delete(bytes.fromhex(d), n, -c)
+            else:
+                b.heir(bytes.fromhex(d), n, i)
         return pd.DataFrame([b.pack()])
 
     def fresh(key, new):
@@ -233,8 +249,10 @@ def index_keys(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "_d string, _n long, _keep long, _live long")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256. The join on the digest is split by adaptive execution where a digest is hot."""
-    rows = stored(digests(docs, key, text), "digests")
-    found = index_keys(update_index(rows, index, buckets=buckets))
-    return rows.join(found, ["_d", "_n"]).select(F.col("_id").alias(key), F.col("_keep").alias("keep_id"), F.col("_live").alias("group_size"), (F.col("_id") == F.col("_keep")).alias("kept"), F.col("_d").alias("text_sha256"))
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", index: DataFrame | None = None, buckets: int | None = None, tag: Column | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256; and the row's tag, if it is given. The join on the digest is split by adaptive execution where a digest is hot."""
+    rows = stored(digests(docs, key, text, tag), "digests")
+    found = index_keys(update_index(rows.select("_id", "_d", "_n"), index, buckets=buckets))
+    id_of = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    out = rows.join(found, ["_d", "_n"])
+    return out.select(id_of("_id").alias(key), id_of("_keep").alias("keep_id"), F.col("_live").alias("group_size"), (F.col("_id") == F.col("_keep")).alias("kept"), F.col("_d").alias("text_sha256"), *([F.col("_g").alias("tag")] if tag is not None else []))

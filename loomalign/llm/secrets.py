@@ -1,16 +1,19 @@
 """Secret scans over an incremental blob ledger.
 
 Every historical version of every path is addressed by the SHA-256 of its content. The ledger records which
-(blob, rule, rule version) pairs have been scanned and what was found; a scan touches only blobs with pairs that the
-ledger lacks, and findings are joined back to every path and version that holds the blob.
+(blob, rule, rule version) pairs have been scanned and what each rule version found; a scan touches only blobs with pairs
+that the ledger lacks, and findings of the rule versions asked for are joined back to every path and version that holds
+the blob. Findings of older rule versions stay in the ledger, but do not come back.
 
 Defined cases: a null text is the empty blob; equal texts are scanned once, however many rows hold them; an empty input
-gives an empty result; other columns of the input are ignored unless named as keys.
+gives an empty result; a text of any length is scanned whole, as one row; rows with null or repeated keys get a result
+each; other columns of the input are ignored unless named as keys.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -52,8 +55,8 @@ def _compiled(rule: Rule) -> re.Pattern:
     return re.compile(pattern, re.ASCII)
 
 
-def find_spans(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each finding, by start, then in the order of the rules; offsets in code points."""
+def find_spans(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[Rule, int, int]]:
+    """(rule, start, end) of each finding, by start, then in the order of the rules; offsets in code points."""
     out = []
     for n, rule in enumerate(rules):
         if rule.need and not any(x in text for x in rule.need):
@@ -61,10 +64,10 @@ def find_spans(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[str, int,
         for m in _compiled(rule).finditer(text):
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), n, m.end()))
-    return [(rules[n].kind, a, b) for a, n, b in sorted(out)]
+    return [(rules[n], a, b) for a, n, b in sorted(out)]
 
 
-_LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
+_LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,version:int,start:int,end:int>>"
 
 
 def read_ledger(spark, path: str) -> DataFrame:
@@ -93,27 +96,33 @@ def scan_unseen(versions: DataFrame, ledger: str, text: str = "text", rules: Seq
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.schema([("blob", pa.string()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+        kind = pa.schema([("blob", pa.string()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             for part in slices(batch, 512):
                 found = []
                 for t, todo in zip(part.column("_t").to_pylist(), part.column("rules").to_pylist(), strict=True):
-                    found.append([{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t, [fixed[x] for x in todo])])
+                    found.append([{"kind": r.kind, "version": r.version, "start": a, "end": b} for r, a, b in find_spans(t, [fixed[x] for x in todo])])
                 yield pa.record_batch([part.column("blob"), part.column("rules"), pa.array(found, kind.field("spans").type)], schema=kind)
 
-    batch = f"{ledger}/{__import__('uuid').uuid4().hex}"
+    batch = f"{ledger}/{uuid.uuid4().hex}"
     blobs.select("blob", "rules", "_t").mapInArrow(run, _LEDGER).write.option("compression", "zstd").parquet(batch)
     return read_ledger(spark, ledger)
 
 
-def scan_secrets(versions: DataFrame, ledger: str, keys: Sequence[str] = ("doc_id",), text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per row of versions: its keys, blob and findings (array of kind, start, end), empty where there are none."""
-    current = F.array(*[F.lit(r.kind) for r in rules])
-    found = scan_unseen(versions, ledger, text, rules).where(F.size("spans") > 0).where(F.arrays_overlap("rules", F.array(*[F.lit(r.key) for r in rules])))
-    found = found.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(current, s["kind"]).cast("int").alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+def findings(versions: DataFrame, ledger: str, keys: Sequence[str] = ("doc_id",), text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """One row per row of versions: its keys, blob and what the ledger has for these rule versions (array of kind, start, end), empty where there is nothing."""
+    rank = F.create_map(*[x for n, r in enumerate(rules, 1) for x in (F.lit(r.key), F.lit(n))])
+    found = read_ledger(versions.sparkSession, ledger).select("blob", F.explode("spans").alias("s"))
+    found = found.withColumn("rank", rank[F.concat_ws("@", "s.kind", F.col("s.version").cast("string"))]).where(F.col("rank").isNotNull())
+    found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "rank", "s.end", "s.kind"))).alias("spans"))
     rows = versions.select(*keys, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return rows.join(found.select("blob", ordered.alias("spans")), "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")).alias("spans"))
+    return rows.join(found, "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")).alias("spans"))
+
+
+def scan_secrets(versions: DataFrame, ledger: str, keys: Sequence[str] = ("doc_id",), text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Scan what the ledger lacks of versions, then the findings of every row."""
+    scan_unseen(versions, ledger, text, rules)
+    return findings(versions, ledger, keys, text, rules)
 
 
 def spans_digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -63,6 +63,18 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert [r.rules for r in secrets.read_ledger(spark, where).collect()].count(["pin@1"]) == 3
 
 
+def test_a_new_rule_version_replaces_the_old_one(spark):
+    where = shared_path(spark, "ledger")
+    rows = spark.createDataFrame([("a", "token=abcdefgh " + "f" * 30), ("b", "x"), (None, None), ("a", "token=abcdefgh " + "f" * 30)], "path string, text string").selectExpr("*", "1 as blob", "2 as spans", "3 as rules")
+    count = lambda rules: sorted((str(r.path), len(r.spans)) for r in secrets.scan_secrets(rows, where, ("path",), rules=rules).collect())
+    assert count(secrets.RULES) == [("None", 0), ("a", 2), ("a", 2), ("b", 0)]
+    silent = (secrets.Rule("assign", 2, "nothing like this"), *secrets.RULES[1:])
+    assert count(silent) == [("None", 0), ("a", 1), ("a", 1), ("b", 0)]
+    wider = (secrets.Rule("assign", 3, r"token=[a-d]+|x"), *secrets.RULES[1:])
+    assert count(wider) == [("None", 0), ("a", 2), ("a", 2), ("b", 1)] and count(secrets.RULES) == [("None", 0), ("a", 2), ("a", 2), ("b", 0)]
+    assert secrets.read_ledger(spark, where).count() == 9  # three blobs, three versions of one rule
+
+
 def fuzz(rng, n):
     """Texts of odd characters: letters of many scripts, marks, white space, special strings."""
     some = ["İ", "aİb", "İ!", "<|endoftext|>", "<|startoftext|>", "<|end", "|>", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "it", "ß", "é", "e\u0301", "\u0345", "ǅ", "ŉ", "١٢", "12", "日本", "😀", "_", "--", "."]
@@ -184,11 +196,29 @@ def test_cuckoo_insert_delete_grow():
 def test_index_over_batches(spark):
     one, two = cuckoo.digests(frame(spark, ["a", "b", "a"])), cuckoo.digests(frame(spark, ["b", "c"]))
     index = cuckoo.update_index(one, buckets=3)
-    index = cuckoo.update_index(two, index, removed=cuckoo.digests(frame(spark, ["a", "a"])), buckets=3)
+    index = cuckoo.update_index(two, index, removed=cuckoo.digests(frame(spark, ["a", "a"])), live=cuckoo.digests(frame(spark, ["b", "c"])), buckets=3)
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {(r._d, r._keep, r._live) for r in cuckoo.index_keys(index).collect()} == {(sha("b"), 0, 2), (sha("c"), 1, 1)}
 
 
+def test_the_next_row_stays(spark):
+    """Where the row that stays is deleted, the smallest live one follows."""
+    rows = [(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b")]
+    table = lambda keep: cuckoo.digests(spark.createDataFrame([x for x in rows if keep(x[0])], "doc_id long, text string"))
+    index = cuckoo.update_index(table(lambda i: True), buckets=2)
+    index = cuckoo.update_index(table(lambda i: False), index, removed=table(lambda i: i in (1, 5)), live=table(lambda i: i not in (1, 5)), buckets=2)
+    assert {(r._keep, r._live) for r in cuckoo.index_keys(index).collect()} == {(2, 2), (4, 1)}
+    with pytest.raises(ValueError, match="left"):
+        cuckoo.update_index(table(lambda i: False), index, removed=table(lambda i: i == 2))
+
+
+def test_equal_texts_with_null_and_repeated_ids(spark):
+    rows = [(None, "x"), (3, "x"), (3, "x"), (None, "y"), (None, "y"), (3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _d", "'q' as _n", "2 as keep_id", "3 as bucket")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in cuckoo.exact_groups(df).collect()), key=str)
+    assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 2, True), (None, None, 2, True), (3, 3, 1, True)], key=str)
+
+
 def test_pack(spark):
     rows = texts(spark)
     want = whole_ids("byte_bpe_50k.json", rows)
