@@ -5,6 +5,7 @@ import hashlib
 import random
 import zipfile
 import zlib
+from fractions import Fraction
 from html.parser import HTMLParser
 from io import BytesIO
 
@@ -60,7 +61,7 @@ def test_kd_shards(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard int").repartition(7)
     got = {r.doc_id: r for r in kdshard.kd_shards(df).collect()}
     assert len(got) == len(rows)
-    total, count, slots = {}, {}, {}
+    total, slots = {}, {}
     for i, t, *_ in rows:
         r = got[i]
         data = (t or "").encode()
@@ -69,13 +70,57 @@ def test_kd_shards(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert set(total) == set(range(16)) and max(total.values()) - min(total.values()) <= 4 * 120
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    del count
     assert kdshard.kd_shards(df.limit(0)).count() == 0
     assert sorted((r.shard, r.slot) for r in kdshard.kd_shards(df.limit(1)).collect())[0][1] == 0
     one = kdshard.kd_shards(spark.createDataFrame([(1, "a", "x", "y")] * 40, "doc_id long, text string, source string, lang string")).collect()
     assert len({(r.shard, r.slot) for r in one}) == 40  # one id: the rows stay together
 
 
+def brute_tree(rows, shards):
+    """id: shard, by sorting. rows: (id, size, coordinates)."""
+    dims, out = len(rows[0][2]), {}
+    wide = [max(max(x[2][d] for x in rows) - min(x[2][d] for x in rows), 1) for d in range(dims)]
+
+    def split(part, first, leaves):
+        if leaves == 1 or not part:
+            out.update({i: first for i, _, _ in part})
+            return
+        spans = [(max(x[2][d] for x in part) - min(x[2][d] for x in part)) / wide[d] for d in range(dims)]
+        d = max(range(dims), key=lambda k: (spans[k], -k))
+        part = sorted(part, key=lambda x: (x[2][d], x[0]))
+        goal, before = Fraction(leaves // 2 * sum(x[1] for x in part), leaves), 0
+        for k, x in enumerate(part):  # the row in which the share is reached goes where the error is less
+            if before < goal <= before + x[1]:
+                cut = k + (before + x[1] - goal <= goal - before)
+                break
+            before += x[1]
+        split(part[:cut], first, leaves // 2)
+        split(part[cut:], first + leaves // 2, leaves - leaves // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+def test_kd_tree_against_sorting(spark):
+    rng = random.Random(8)
+    urls = [f"https://site0.org/{'x' * rng.randrange(30)}" for _ in range(40)] + [None, "", "é"]
+    rows = [(i, "a" * rng.randrange(200), rng.choice(urls) if i % 3 else urls[0], rng.choice([0.25, 0.5, 1e9, -3.5, None]), rng.randrange(1000) - 500) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, day int").selectExpr("*", "1 as node", "2 as size", "3 as x0", "4 as id", "5 as v").repartition(5)
+    order = lambda k: {v: n for n, v in enumerate(sorted({r[k] for r in rows if r[k] is not None}, key=lambda x: x.encode() if isinstance(x, str) else x), 1)} | {None: 0}
+    source, score = order(2), order(3)
+    plain = [(i, len(t) + 1, (source[u], score[s], d, len(t) + 1)) for i, t, u, s, d in rows]
+    total = sum(x[1] for x in plain)
+    for option, shards in (({"shards": 16}, 16), ({"shards": 5}, 5), ({"shards": 1}, 1), ({"target_bytes": total // 7}, 8)):
+        got = {r.doc_id: r.shard for r in kdshard.kd_shards(df, ("source", "score", "day"), **option).collect()}
+        assert got == brute_tree(plain, shards), option
+
+
+def test_kd_shards_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a", "s", "l")] * 5 + [(7, None, None, None)] * 3 + [(8, "b" * 1_000_000, "s", "l")], "doc_id long, text string, source string, lang string")
+    got = kdshard.kd_shards(df, shards=2).collect()
+    assert len({(r.shard, r.slot) for r in got}) == 9 and sum(r.doc_id is None for r in got) == 5 and {r["size"] for r in got if r.doc_id == 7} == {1}
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "<p>é"), (2, None, "<p>é"), (3, "http://b/\r\nX: 1", None), (4, "u", ""), (5, "u", "x" * 300_000), (6, "v", "\r\n\r\nHTTP/1.1"), (7, "v", "<p>é")]
     df = spark.createDataFrame([(*p, 5) for p in pages], "page_id long, url string, html string, payload_bytes int").repartition(3)
