@@ -1,14 +1,16 @@
 """WARC records in ZIP packages: a writer, and a reader that range-reads records without extraction.
 
 A package is a ZIP file with stored (uncompressed) members: archive/data.warc.gz, where each record is a gzip member of
-its own, and indexes/index.cdxj with one line a record (offset and length inside the archive member). The reader parses
-the end record, the ZIP64 locator and end record, and the central directory from the file's tail; finds the stored
-members' data behind their local headers; reads the index; and deals out (file, offset, length) triples, each of which
-is one ranged read.
+its own, and indexes/index.cdxj with one line a record (file name, offset and length inside that archive member); a
+package may hold several archives and indexes. The reader parses the end record, the ZIP64 locator and end record, and the
+central directory from the file's tail; finds the stored members' data behind their local headers; reads the indexes; and
+deals out (file, offset, length) triples, each of which is one ranged read.
 
 Of records with equal payloads of at least `least` bytes the one with the largest id is a response and the others are
 revisits that refer to it. Defined cases: a null payload is empty; repeated ids with equal payloads are all responses;
-null urls are written as urn:page:<id>; an empty table gives no packages and an empty result.
+null urls are written as urn:page:<id>, null ids as urn:page:null, which read back as null (equal payloads without an id are
+all responses); a payload of any length is one record; an empty table gives no packages and an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +39,18 @@ def _line(value: str) -> str:
     return "".join(c for c in value if c >= " ")
 
 
-def record(page: int, url: str | None, payload: bytes | None, length: int, digest: str, response: int | None) -> bytes:
+def _name(page: int | None) -> str:
+    return "null" if page is None else str(page)
+
+
+def record(page: int | None, url: str | None, payload: bytes | None, length: int, digest: str, response: int | None) -> bytes:
     """One WARC record. response: the id it revisits, or None if it is a response itself."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if response is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:page:{_name(page)}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
-        f"WARC-Target-URI: {_line(url) if url else f'urn:page:{page}'}",
+        f"WARC-Target-URI: {_line(url) if url else f'urn:page:{_name(page)}'}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {length}",
         "Content-Type: application/http; msgtype=response",
@@ -72,7 +78,7 @@ def package(records: list[tuple[int, str, bytes]], zip64: bool = False) -> bytes
     for page, url, data in records:
         z = zlib.compressobj(4, zlib.DEFLATED, 31)
         part = z.compress(data) + z.flush()
-        index.append(f"urn:page:{page} 20000101000000 " + json.dumps({"offset": archive.tell(), "length": len(part), "url": url}))
+        index.append(f"urn:page:{_name(page)} 20000101000000 " + json.dumps({"offset": archive.tell(), "length": len(part), "filename": "data.warc.gz", "url": url}))
         archive.write(part)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
@@ -138,17 +144,20 @@ class ZipPackage:
         return where + 30 + n + extra, packed
 
     def index(self) -> list[tuple[int, int]]:
-        """Offset and length in the file of every record of every indexed archive member."""
+        """Offset and length in the file of every record that an index names; an entry without a file name is of the only archive."""
+        archives = {x.removeprefix("archive/"): self.locate(x) for x in sorted(self.members) if x.startswith("archive/")}
         out = []
-        for name in sorted(x for x in self.members if x.startswith("archive/")):
-            base, size = self.locate(name)
-            for index in (x for x in self.members if x.startswith("indexes/")):
-                at, n = self.locate(index)
-                for line in self._read(at, n).decode().splitlines():
-                    entry = json.loads(line.split(" ", 2)[2])
-                    if entry["offset"] + entry["length"] > size:
-                        raise ValueError("an index entry ends beyond its archive")
-                    out.append((base + entry["offset"], entry["length"]))
+        for name in sorted(x for x in self.members if x.startswith("indexes/")):
+            at, n = self.locate(name)
+            for line in self._read(at, n).decode().splitlines():
+                entry = json.loads(line.split(" ", 2)[2])
+                file = entry.get("filename") or (next(iter(archives)) if len(archives) == 1 else None)
+                if file not in archives:
+                    raise ValueError("an index entry names no archive of the package")
+                base, size = archives[file]
+                if int(entry["offset"]) + int(entry["length"]) > size:
+                    raise ValueError("an index entry ends beyond its archive")
+                out.append((base + int(entry["offset"]), int(entry["length"])))
         return out
 
 
@@ -157,9 +166,11 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_u"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("_p")).withColumn("_d", F.sha1("_p")).withColumn("_n", F.octet_length("_p").cast("long"))
     last = pages.select(F.col(key).cast("long").alias("_r"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("_p")).select("_r", F.sha1("_p").alias("_d"), F.octet_length("_p").cast("long").alias("_n"))
-    last = last.where(F.col("_n") >= least).groupBy("_d").agg(F.max("_r").alias("_r"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    # Only payloads that occur more than once take part in the join; the rest keep their place.
-    rows = rows.join(last, "_d", "left").select("_id", "_u", F.when((F.col("_r") == F.col("_id")) | F.col("_r").isNull(), F.col("_p")).alias("_p"), "_d", "_n", F.when(F.col("_r") != F.col("_id"), F.col("_r")).alias("_r"))
+    last = stored(last.where(F.col("_n") >= least).groupBy("_d").agg(F.max("_r").alias("_r"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "repeated")
+    # Payloads stay where they are if the table of repeated digests is small enough for Spark to broadcast (its size is
+    # known, since it is stored); else they are dealt out by digest, once.
+    own = F.col("_r").isNull() | F.col("_r").eqNullSafe(F.col("_id"))
+    rows = rows.join(last, "_d", "left").select("_id", "_u", F.when(own, F.col("_p")).alias("_p"), "_d", "_n", F.when(~own, F.col("_r")).alias("_r"))
 
     def run(batches):
         import pyarrow as pa
@@ -209,7 +220,10 @@ def read_packages(files: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.record_batch([pa.array([file]), pa.array([[x for x, _ in part]], pa.list_(pa.int64())), pa.array([[n for _, n in part]], pa.list_(pa.int64()))], names=["file", "at", "n"])
 
     ranges = files.select("file").repartition(tasks).mapInArrow(locate, "file string, at array<long>, n array<long>").repartition(tasks)
-    page_of = lambda x: int(x.strip("<>").rpartition(":")[2])
+
+    def page_of(name):
+        name = name.strip("<>").rpartition(":")[2]
+        return None if name == "null" else int(name)
 
     def read(batches):
         import hashlib

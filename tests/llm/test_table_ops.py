@@ -160,6 +160,26 @@ def test_zip_directories():
         warc.ZipPackage(lambda at, n: b"\0" * n, 100)
 
 
+def test_zip_with_several_archives():
+    """Each index entry is read from the archive that it names."""
+    parts = {f"{x}.warc.gz": [zlib.compress(warc.record(i, "u", f"{x}{i}".encode(), 2, "D", None), wbits=31) for i in range(3)] for x in "ab"}
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, (name, records) in enumerate(parts.items()):
+            z.writestr(f"archive/{name}", b"".join(records))
+            starts = np.cumsum([0, *map(len, records)])[:-1]
+            z.writestr(f"indexes/{n}.cdxj", "".join(f'k 2000 {{"offset": "{at}", "length": {len(r)}, "filename": "{name}"}}\n' for at, r in zip(starts, records, strict=True)))
+    p = warc.ZipPackage(lambda at, n: out.getvalue()[at : at + n], len(out.getvalue()))
+    assert [warc.parse(zlib.decompress(out.getvalue()[a : a + n], 31))[1] for a, n in p.index()] == [f"{x}{i}".encode() for x in "ab" for i in range(3)]
+
+
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (5, None, "a"), (5, "u", "a"), (4, "u", "a"), (6, "u", "b"), (6, "u", "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as _id", "2 as _d", "3 as _n", "'x' as payload_digest")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_packages(warc.write_packages(df, shared_path(spark, "w"))).collect()), key=str)
+    assert got == sorted([(None, "revisit", 5), (None, "revisit", 5), (5, "response", None), (5, "response", None), (4, "revisit", 5), (6, "response", None), (6, "response", None)], key=str)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{a:b}</style><script>var t="</p><p>no";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a>One</a><li>Two</ul></nav><!-- <p>hidden</p> --><div class="cookie-notice">We use cookies</div><div class='ad banner'>Buy</div><aside>Side</aside>
 <article class="post"><h1>A  &lt;b&gt;
