@@ -14,8 +14,8 @@ all of them, whatever a bucket's size:
 
 1. Each text of a bucket (the texts that share a sketch) is compared with one stable leader, the text that shares most
    sketches with others. Members of one group meet the same few leaders in all their buckets, so pairs grow with texts.
-   Links give components. Then each bucket's components that are still apart meet again, one drawn text of each, until
-   a round finds no link.
+   Links give components. Then each bucket's components that are still apart meet again, one drawn text of each, while
+   rounds find many links; how many rounds there are changes the work of step 2, not the result.
 2. All pairs of texts in different components whose buckets still hold several are candidates, but for those that their
    lengths and shared shingles rule out exactly (see _rest). So classes are the closure over all candidate pairs.
 
@@ -35,6 +35,7 @@ from loomalign.llm.common import slices_by_bytes, stored
 
 BANDS, PICK, SHINGLE = 20, 3, 5
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+WORTH = 8  # a round of draws is worth another while one pair in so many is a link; what rounds leave, step 2 finds
 BLOCK = 1024  # texts of one shingle that meet in one group
 
 
@@ -346,15 +347,18 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     labels = spark.createDataFrame([], "row long, part long")
     named = lambda: entries.hint("merge").join(labels, "row", "left").withColumn("part", F.coalesce("part", "row"))
-    alone = entries.hint("merge").join(weight, "row").withColumn("part", F.col("row"))
-    links = found = stored(verify(stored(_pairs(alone, F.struct("weight", -F.col("row")), least), "omh-pairs"), compared, least), "omh-links")
+    met = stored(_pairs(entries.hint("merge").join(weight, "row").withColumn("part", F.col("row")), F.struct("weight", -F.col("row")), least), "omh-pairs")
+    links = found = stored(verify(met, compared, least), "omh-links")
     turn = 0
-    while not found.isEmpty():
+    while n := found.count():
         labels, turn = components(links), turn + 1
+        if n * WORTH < met.count():
+            break
         # One drawn text of each component of a bucket meets one of the largest component. Buckets of two have met already.
         drawn = F.xxhash64("row", "band", F.lit(turn))
         parts = named().where("c > 2").groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("row", "n"), drawn).alias("r")).select("band", "part", "size", "r.*")
-        found = stored(verify(stored(_pairs(parts, F.struct("size", -F.col("part")), least), "omh-pairs"), compared, least), "omh-links")
+        met = stored(_pairs(parts, F.struct("size", -F.col("part")), least), "omh-pairs")
+        found = stored(verify(met, compared, least), "omh-links")
         links = links.union(found)
     found = stored(verify(stored(_rest(named(), compared, least), "omh-rest"), compared, least), "omh-links")
     if not found.isEmpty():
