@@ -10,8 +10,9 @@ than WINDOW have one fingerprint, their whole text's hash, and documents all gra
 One scan of the texts; texts move only for documents that the filter passes. Nothing grows with the documents on the
 driver: it gets the filter's words, at most 2 ** MAX_BITS bits.
 
-Defined cases: null, empty and wordless texts have no words and no hits; wordless items occur nowhere; repeated rows get
-a result each; repeated items count once by id; an empty table of documents gives an empty result and an empty
+Defined cases: null, empty and wordless texts have no words and no hits; wordless items occur nowhere; repeated rows, and
+rows with null or repeated ids, get a result each; items without an id count in n_hit, but are not named; repeated items count once
+by id; a text may have up to 2 ** 26 words, more than a task's memory holds as an array; an empty table of documents gives an empty result and an empty
 benchmark gives zeros; other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomalign.llm.common import stored, words_of
@@ -80,8 +81,14 @@ def _bloom(prints: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
-def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5) -> DataFrame:
-    """One row per row of docs: key, n_words, n_hit, item_ids (sorted strings of the items with windows in it)."""
+def _runs(prints: DataFrame, by: list[str]) -> DataFrame:
+    """by, from, to: runs of consecutive places of equal prints."""
+    own = F.row_number().over(Window.partitionBy(*by).orderBy("at"))
+    return prints.withColumn("_run", F.col("at") - own).groupBy(*by, "_run").agg(F.min("at").alias("from"), F.max("at").alias("to")).drop("_run")
+
+
+def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, tag: Column | None = None) -> DataFrame:
+    """One row per row of docs: key, n_words, n_hit, item_ids (sorted strings of the items with windows in it); and the row's tag, if it is given."""
     tests = stored(items.select(F.col(item_key).cast("string").alias("item"), words_of(F.col(item_text)).alias("iw")).where(F.size("iw") > 0).distinct().withColumn("row", F.xxhash64("item", "iw")), "items")
     short = [r[0] for r in tests.where(F.size("iw") < window).select(F.size("iw")).distinct().collect()]  # below window, so few
 
@@ -97,30 +104,34 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     body = F.coalesce(F.col(text), F.lit(""))
     found = let(words_of(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.filter(prints_of(w, False), lambda x: passes(_hash(x))).alias("hits")))
-    base = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("th"), body.alias("t"), found.alias("f"))
-    base = stored(base.select("id", "th", F.col("f.n_words").alias("n_words"), F.col("f.hits").alias("hits"), F.when(F.size("f.hits") > 0, F.col("t")).alias("t")), "doc-prints")
-
-    hits = base.where(F.size("hits") > 0).select("id", "th", F.explode("hits").alias("p")).select("id", "th", _hash(F.col("p")).alias("h"), _place(F.col("p")).alias("at"))
-    lines = hits.join(prints.withColumnRenamed("at", "item_at"), "h").select("id", "th", "row", (F.col("at") - F.col("item_at")).cast("int").alias("diagonal")).distinct()
+    base = docs.select(F.col(key).alias("id"), F.lit(0).cast("long").alias("tag") if tag is None else tag.alias("tag"), body.alias("t"), found.alias("f"))
+    base = base.select("id", "tag", F.col("f.n_words").alias("n_words"), F.col("f.hits").alias("hits"), F.when(F.size("f.hits") > 0, F.col("t")).alias("t"))
+    base = stored(base.withColumn("doc", F.monotonically_increasing_id()), "doc-prints")  # a number of the row's own: ids may repeat or be null
+
+    hits = base.where(F.size("hits") > 0).select("doc", F.explode("hits").alias("p")).select("doc", _hash(F.col("p")).alias("h"), _place(F.col("p")).alias("at"))
+    # Runs of one fingerprint at consecutive places (repeated words) meet as runs: a pair of runs names a range of diagonals.
+    met = _runs(hits, ["doc", "h"]).join(_runs(prints, ["row", "h"]).withColumnsRenamed({"from": "item_from", "to": "item_to"}), "h")
+    diagonals = F.sequence((F.col("from") - F.col("item_to")).cast("int"), (F.col("to") - F.col("item_from")).cast("int"))
+    lines = met.select("doc", "row", F.explode(diagonals).alias("diagonal")).distinct()
     held = tests.select("row", F.size("iw").alias("n"))
-    lines = lines.join(held, "row").groupBy("id", "th").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("lines"))
+    lines = lines.join(held, "row").groupBy("doc").agg(F.collect_list(F.struct("row", "diagonal", "n")).alias("lines"))
 
     # Each document is cut into words once; what leaves it is a slice as long as the item, where the alignment lies.
-    texts = base.where(F.col("t").isNotNull()).select("id", "th", "t").dropDuplicates(["id", "th"])
+    texts = base.where(F.col("t").isNotNull()).select("doc", "t")
     piece = lambda w: F.transform("lines", lambda x: F.struct(x["row"].alias("row"), F.greatest(x["diagonal"], F.lit(0)).alias("from"), F.greatest(-x["diagonal"], F.lit(0)).alias("skip"), F.slice(w, F.greatest(x["diagonal"], F.lit(0)) + 1, x["n"] - F.greatest(-x["diagonal"], F.lit(0))).alias("words")))
-    parts = texts.join(lines, ["id", "th"]).select("id", "th", F.explode(let(words_of(F.col("t")), piece)).alias("x")).select("id", "th", "x.*")
+    parts = texts.join(lines, "doc").select("doc", F.explode(let(words_of(F.col("t")), piece)).alias("x")).select("doc", "x.*")
     parts = parts.join(tests, "row")
     need = F.least(F.lit(window), F.size("iw"))
     equal = F.array_join(F.zip_with("words", F.slice("iw", F.col("skip") + 1, F.size("words")), lambda a, b: F.when(a == b, "1").otherwise("0")), "")
     starts = lambda s: F.filter(F.sequence(F.lit(1), F.length(s) - need + 1), lambda p: s.substr(p, need) == F.repeat(F.lit("1"), need))
     runs = let(equal, lambda s: F.when(F.length(s) >= need, starts(s)).otherwise(F.array().cast("array<int>")))
-    spans = parts.select("id", "th", "item", "from", need.alias("need"), runs.alias("starts")).where(F.size("starts") > 0)
+    spans = parts.select("doc", "item", "from", need.alias("need"), runs.alias("starts")).where(F.size("starts") > 0)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(F.col("from") + p, F.col("from") + p + F.col("need") - 1))))
-    spans = stored(spans.select("id", "th", "item", covered.alias("places")), "spans")
-    n_hit = spans.select("id", "th", F.explode("places").alias("p")).distinct().groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = spans.groupBy("id", "th").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    out = base.select("id", "th", "n_words").join(n_hit, ["id", "th"], "left").join(named, ["id", "th"], "left")
-    return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    spans = stored(spans.select("doc", "item", covered.alias("places")), "spans")
+    n_hit = spans.select("doc", F.explode("places").alias("p")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
+    named = spans.groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    out = base.select("id", "tag", "doc", "n_words").join(n_hit, "doc", "left").join(named, "doc", "left")
+    return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), *(["tag"] if tag is not None else []))
 
 
 def contaminated() -> Column:

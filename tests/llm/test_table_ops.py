@@ -55,6 +55,17 @@ def test_decontamination(spark):
     assert decontam.report(df.limit(0), test).count() == 0
 
 
+def test_decontamination_of_repeated_words_and_odd_ids(spark):
+    """Runs of one word meet as runs; rows that share or lack an id are judged apart."""
+    docs = [(None, "a " * 900), (1, "b " + "a " * 700 + "b"), (1, "clean words only"), (None, None), (2, "a " * 12), (2, "x y")]
+    items = [(3, "a " * 800), (None, "a " * 13), (4, "x y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as doc", "2 as tag", "3 as id", "4 as h")
+    test = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as row", "2 as item", "3 as iw")
+    want = [(i, n, hit, [x for x in names if x != "None"]) for (i, _), (n, hit, names) in zip(docs, brute_report([t for _, t in docs], items), strict=True)]
+    got = [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontam.report(df, test).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_kd_shards(spark):
     rng = random.Random(5)
     rows = [(i, None if i % 50 == 0 else "é" * rng.randrange(1, 60), "hot" if i % 3 == 0 else f"s{rng.randrange(9)}", None if i % 7 == 0 else "en", 9) for i in range(4000)]
