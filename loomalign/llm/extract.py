@@ -4,7 +4,7 @@ A page is cut into blocks. Structure decides where it speaks: what lies in a men
 advert, form, comment list, script or style (by element, or by a whole class, id or role name) is boilerplate; what lies
 in article or main is text. A wrapper that only its class names as boilerplate does not hide an article or main in it, if
 the page has no other. Blocks that neither covers are open, and the host's suffix groups decide them: a page's open and
-boilerplate blocks are its token streams (unbroken across blocks, broken by article text); their suffixes are grouped by
+boilerplate blocks are its token streams (unbroken across blocks, broken by article text); the suffixes of all its pages are grouped by
 their first SPAN tokens over the whole host, and substrings of that length that two distinct pages hold mark the tokens
 they cover. Covered tokens of open blocks go; unique runs stay. repeated() does the same in memory.
 
@@ -239,11 +239,11 @@ def decided(found: list[tuple[int, str]], marks: set[int]) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", span: int = SPAN) -> DataFrame:
-    """One row per row of pages: id, url, text, n_chars, n_open (blocks that structure left open), n_covered (tokens of its streams that are repeated).
+    """One row per row of pages: id, url, text, n_chars, n_open (blocks that structure left open), n_covered (repeated tokens of the streams of a page with open blocks).
 
-    Pages without open blocks are done where they are read; they have no streams (n_covered is 0). Of the rest, the spans
-    of a whole host are summed up by (host, digest of the span), before and after they are dealt out, and only covered
-    places go back to the pages: no task holds a host, and no host is split.
+    The text of a page without open blocks is done where it is read; its streams are evidence for the host's other pages
+    all the same. The spans of a whole host are summed up by (host, digest of the span), before and after they are dealt
+    out, and only covered places go back to pages with open blocks: no task holds a host, and no host is split.
     """
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_u"), F.col(html).alias("_h"))
 
@@ -252,26 +252,22 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
         import pyarrow as pa
 
-        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string())), ("copy", pa.binary())])
+        kind = pa.schema([("_id", pa.int64()), ("_u", pa.string()), ("done", pa.string()), ("states", pa.list_(pa.int8())), ("parts", pa.list_(pa.string())), ("streams", pa.list_(pa.string())), ("copy", pa.binary())])
         for batch in batches:
             for s in slices(batch):
-                done, states, parts, copy = [], [], [], []
+                done, states, parts, own, copy = [], [], [], [], []
                 for h in s.column("_h").to_pylist():
                     found = blocks(h)
-                    if all(x for x, _ in found):
-                        done.append("\n".join(t for x, t in found if x > 0))
-                        states.append(None)
-                        parts.append(None)
-                        copy.append(None)
-                    else:
-                        done.append(None)
-                        states.append([x for x, _ in found])
-                        parts.append([t for _, t in found])
-                        copy.append(hashlib.blake2b("\n".join(t for x, t in found if x >= 0).encode(), digest_size=16).digest())
-                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string())), pa.array(copy, pa.binary())], schema=kind)
-
-    first = stored(rows.mapInArrow(cut, "_id long, _u string, done string, states array<tinyint>, parts array<string>, copy binary").withColumn("row", F.monotonically_increasing_id()), "blocks")
-    open_ = first.where(F.col("done").isNull()).withColumn("host", F.coalesce(F.lower(F.regexp_extract("_u", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
+                    kept, closed = "\n".join(t for x, t in found if x >= 0), all(x for x, _ in found)
+                    done.append(kept if closed else None)
+                    states.append(None if closed else [x for x, _ in found])
+                    parts.append(None if closed else [t for _, t in found])
+                    own.append([" ".join(w) for w in streams(found)])
+                    copy.append(hashlib.blake2b(kept.encode(), digest_size=16).digest())
+                yield pa.record_batch([s.column("_id"), s.column("_u"), pa.array(done, pa.string()), pa.array(states, pa.list_(pa.int8())), pa.array(parts, pa.list_(pa.string())), pa.array(own, pa.list_(pa.string())), pa.array(copy, pa.binary())], schema=kind)
+
+    first = stored(rows.mapInArrow(cut, "_id long, _u string, done string, states array<tinyint>, parts array<string>, streams array<string>, copy binary").withColumn("row", F.monotonically_increasing_id()), "blocks")
+    host = F.coalesce(F.lower(F.regexp_extract("_u", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
     def spans(batches):
         import hashlib
@@ -280,11 +276,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         import pyarrow as pa
 
         for batch in batches:
-            for s in slices(batch, 16):
+            for s in slices(batch, 64):
                 found, page, twin, row, at = [], [], [], [], []
-                for host, i, r, copy, states, parts in zip(*[s.column(c).to_pylist() for c in ("host", "_id", "row", "copy", "states", "parts")], strict=True):
+                for host, i, r, copy, own in zip(*[s.column(c).to_pylist() for c in ("host", "_id", "row", "copy", "streams")], strict=True):
                     begin = 0
-                    for w in streams(list(zip(states, parts, strict=True))):
+                    for w in (x.split(" ") for x in own):
                         n = max(0, len(w) - span + 1)
                         found += [hashlib.blake2b("\0".join([host, *w[k : k + span]]).encode(), digest_size=16).digest() for k in range(n)]
                         at += range(begin, begin + n)
@@ -295,11 +291,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
                 yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(page, pa.string()), pa.array(twin, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int32())], names=["h1", "h2", "page", "twin", "row", "at"])
 
-    units = stored(open_.mapInArrow(spans, "h1 long, h2 long, page string, twin long, row long, at int"), "spans")
+    units = stored(first.select(host.alias("host"), "_id", "row", "copy", "streams").mapInArrow(spans, "h1 long, h2 long, page string, twin long, row long, at int"), "spans")
     # Two pages differ in id and in content; where a span has two ids and two contents, two such pages exist.
     shared = units.groupBy("h1", "h2").agg(F.min("page").alias("p0"), F.max("page").alias("p1"), F.min("twin").alias("t0"), F.max("twin").alias("t1")).where("p0 != p1 and t0 != t1")
     shared = shared.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a span of all pages of a hot host is joined in parts
-    hits = units.select("h1", "h2", "row", "at", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt")).join(shared, ["h1", "h2", "salt"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
+    open_ = first.where(F.col("done").isNull()).select("_id", "_u", "row", "states", "parts")
+    hits = units.join(open_.select("row"), "row", "left_semi").select("h1", "h2", "row", "at", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt")).join(shared, ["h1", "h2", "salt"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
 
     def decide(batches):
         import pyarrow as pa
