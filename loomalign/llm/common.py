@@ -16,9 +16,11 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; one of our own only where it is unset and all run on this machine."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file:///tmp/checkpoints/loomalign"
         os.makedirs("/tmp/checkpoints/loomalign", exist_ok=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -69,6 +71,19 @@ def put_file(folder: str, name: str, data: bytes) -> str:
     return f"{folder}/{name}"
 
 
+def row_tag(docs: DataFrame) -> Column:
+    """A 64-bit hash of all of a row's columns: tells rows that share or lack an id apart."""
+    return F.xxhash64(*[docs[c] for c in docs.columns])
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose (key, tag) keys has, as they are; null is a key like any other. Adaptive execution splits the join, or broadcasts keys, by size."""
+    own = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
+    chosen = keys.select(F.xxhash64("tag", own).alias("_loom_t"), own.alias("_loom_k"))
+    found = docs.withColumns({"_loom_t": F.xxhash64(row_tag(docs), own), "_loom_k": own}).join(chosen, ["_loom_t", "_loom_k"], "left_semi")
+    return found.drop("_loom_t", "_loom_k")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,9 @@
 
 Document evidence: two logistic heads, one for low quality (shape of the text: repetition, symbols, capitals, tables) and
 one for toxic text (words and word beginnings that a labelled sample shows to be far likelier in toxic documents). They
-are fitted on at most sample_rows labelled rows, chosen by hash of the id; that is the only bound.
+are fitted on at most sample_rows labelled rows, chosen by hash of the id. The model itself is of bounded size: a lexicon of
+at most lexicon_rows words and beginnings of 4 or 5 letters (those with the strongest evidence), of which a document's
+TOP_KEYS strongest count. Every document is scored, over its whole text.
 
 Site evidence: the share of clean documents of a host is a beta-binomial posterior around the global share, and the share
 of a path inside the host one around the host's; the prior strengths are estimated by moments from the spread of the
@@ -10,8 +12,9 @@ groups' shares over all documents. A sparse path thus falls back on its host and
 document is left out of its own groups' counts. The posterior odds of a document are its evidence times the odds of its
 path, over the odds of the labelled rows.
 
-Hosts and paths are any two columns; for documents they are source and lang. Defined cases: a null or empty text has
-zero features; null hosts and paths form groups of their own; repeated rows count each; without labels (or with one class
+Hosts and paths are any two columns; with_site() takes them from a url. A table without urls, like documents, has its source
+as the host and its lang as the path inside it. Defined cases: a null or empty text has zero features; null hosts and paths
+form groups of their own; repeated rows, and rows with null or repeated ids, count each; texts of any length are read whole; without labels (or with one class
 only) a head is silent and everything is kept; a null label is no label; an empty table gives an empty result; columns
 other than those named are ignored by classify() and kept by filter_clean().
 """
@@ -20,12 +23,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import slices, stored
+from loomalign.llm.common import row_tag, rows_of, slices, stored
 
 FEATURES = ("log_words", "distinct", "adjacent", "symbols", "capitals", "tables", "word_length", "lines", "digits", "letters")
+TOP_KEYS = 4
 _STRIP = ".,;:!?\"'()[]{}«»“”"
 _SYMBOLS = "|!%#*&$@~^<>=+_\\{}[]"
 
@@ -83,7 +87,7 @@ def toxic_evidence(distinct: set[str], n: int, lexicon: dict[str, float]) -> lis
     if not lexicon or not n:
         return [0.0, 0.0, 0.0]
     found = sorted((lexicon[k] for k in keys(distinct) if k in lexicon), reverse=True)
-    return [min(1.0, sum(found[:4]) / 16), min(1.0, len(found) / 8), 1.0 if found else 0.0]
+    return [min(1.0, sum(found[:TOP_KEYS]) / (4 * TOP_KEYS)), min(1.0, len(found) / 8), 1.0 if found else 0.0]
 
 
 def logistic(x, y, ridge: float = 1e-2, rounds: int = 50):
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         y.append(1 - r["good"])
         z.append(r["toxic"])
         found = sorted((lexicon[k] for k in r["keys"] if k in lexicon), reverse=True)
-        evidence.append([min(1.0, sum(found[:4]) / 16), min(1.0, len(found) / 8), 1.0 if found else 0.0] if r["n"] else [0.0] * 3)
+        evidence.append([min(1.0, sum(found[:TOP_KEYS]) / (4 * TOP_KEYS)), min(1.0, len(found) / 8), 1.0 if found else 0.0] if r["n"] else [0.0] * 3)
     if not x:
         return Model([0.0] * len(FEATURES), [1.0] * len(FEATURES))
     x, y, z = np.array(x), np.array(y), np.array(z)
@@ -154,8 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(mean.tolist(), scale.tolist(), logistic((x - mean) / scale, y), logistic(np.array(evidence), z), lexicon, float(np.clip(((y == 0) & (z == 0)).mean(), 0.01, 0.99)))
 
 
-def score(docs: DataFrame, model: Model, host: str, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, host, path, p_junk, p_toxic, p_clean) of every row, stored."""
+def with_site(pages: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
+    """pages with the host of a url and the first part of its path; null urls have neither, a url without a path has ''."""
+    return pages.withColumns({host: F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), path: F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)})
+
+
+def score(docs: DataFrame, model: Model, host: str, path: str, key: str = "doc_id", text: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, tag, host, path, p_junk, p_toxic, p_clean) of every row, stored."""
 
     def run(batches):
         import numpy as np
@@ -171,11 +180,11 @@ def score(docs: DataFrame, model: Model, host: str, path: str, key: str = "doc_i
             bad = head(model.toxic, np.array([e for _, e in out]).reshape(len(out), 3))
             if model.junk is None:
                 junk[:] = 0
-            yield pa.record_batch([s.column("_id"), s.column("_h"), s.column("_p"), pa.array(junk), pa.array(bad), pa.array((1 - junk) * (1 - bad))], names=["id", "host", "path", "p_junk", "p_toxic", "p_clean"])
+            yield pa.record_batch([s.column("_id"), s.column("_g"), s.column("_h"), s.column("_p"), pa.array(junk), pa.array(bad), pa.array((1 - junk) * (1 - bad))], names=["id", "tag", "host", "path", "p_junk", "p_toxic", "p_clean"])
 
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_h"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("_p"), F.col(text).alias("_t"))
+    rows = docs.select(F.col(key).alias("_id"), F.lit(0).cast("long").alias("_g") if tag is None else tag.alias("_g"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_h"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("_p"), F.col(text).alias("_t"))
     kind = dict(docs.dtypes)[key]
-    return stored(rows.mapInArrow(run, f"id {kind}, host string, path string, p_junk double, p_toxic double, p_clean double"), "scores")
+    return stored(rows.mapInArrow(run, f"id {kind}, tag long, host string, path string, p_junk double, p_toxic double, p_clean double"), "scores")
 
 
 def strength(groups: DataFrame) -> float:
@@ -211,14 +220,13 @@ def odds_of(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = 0.5, model: Model | None = None) -> DataFrame:
-    """One row per row of docs: key, p_junk, p_toxic, host_rate, path_rate, posterior (of being clean), kept."""
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", key: str = "doc_id", text: str = "text", threshold: float = 0.5, model: Model | None = None, tag: Column | None = None) -> DataFrame:
+    """One row per row of docs: key, p_junk, p_toxic, host_rate, path_rate, posterior (of being clean), kept; and the row's tag, if it is given."""
     model = model or fit(docs, labels, key, text)
-    found = posteriors(score(docs, model, host, path, key, text), model.base)
-    return found.select(F.col("id").alias(key), *[F.round(c, 6).alias(c) for c in ("p_junk", "p_toxic", "host_rate", "path_rate", "posterior")], (F.col("posterior") >= threshold).alias("kept"))
+    found = posteriors(score(docs, model, host, path, key, text, tag), model.base)
+    return found.select(F.col("id").alias(key), *[F.round(c, 6).alias(c) for c in ("p_junk", "p_toxic", "host_rate", "path_rate", "posterior")], (F.col("posterior") >= threshold).alias("kept"), *(["tag"] if tag is not None else []))
 
 
 def filter_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    kept = classify(docs, labels, key=key, **options).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == F.col("_kept"), "left_semi")
+    return rows_of(docs, classify(docs, labels, key=key, tag=row_tag(docs), **options).where("kept"), key)

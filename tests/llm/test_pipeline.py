@@ -53,3 +53,20 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, extra, SF)
         assert out.columns == extra.columns and out.count() <= 40
         assert stage(spark, extra.limit(0), SF).count() == 0
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    """Every stage judges rows apart: of equal texts one row stays, others with the same or no id stay or go on their own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality_ids = [r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("posterior > 0.9").orderBy("doc_id").collect()]
+    a, b = [r.text for r in docs.where(docs.doc_id.isin(quality_ids)).orderBy("n_chars", ascending=False).limit(2).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    near = a + " more"
+    rows = [(None, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (7, item, "en", "s", 1), (7, b + " x", "en", "s", 2), (7, near, "en", "s", 3), (8, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert texts(stage["exact_dedup"](spark, df, SF)) == sorted({r[:2] for r in rows}, key=str)
+    assert texts(stage["near_dedup"](spark, df, SF)) == sorted([(7, near), (7, b + " x"), (7, item), (8, None)], key=str)
+    assert texts(stage["decontamination"](spark, df, SF)) == sorted([r[:2] for r in rows if r[1] != item], key=str)
+    assert (None, b) in texts(stage["quality"](spark, df.union(docs), SF))

@@ -2,15 +2,18 @@
 
 import base64
 import hashlib
+import math
 import random
 import zipfile
 import zlib
 from fractions import Fraction
 from html.parser import HTMLParser
 from io import BytesIO
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomalign.llm import decontam, extract, kdshard, quality, warc
 from loomalign.llm.common import py_words, shared_path
@@ -231,11 +234,10 @@ def brute_extract(rows, span=8):
     found = [extract.blocks(h) for _, _, h in rows]
     seen = {}
     for n, ((i, host, _), b) in enumerate(zip(rows, found, strict=True)):
-        if any(x == 0 for x, _ in b):
-            page = (("row", n) if i is None else i, "\n".join(t for x, t in b if x >= 0))
-            for w in extract.streams(b):
-                for k in range(len(w) - span + 1):
-                    seen.setdefault((host, *w[k : k + span]), set()).add(page)
+        page = (("row", n) if i is None else i, "\n".join(t for x, t in b if x >= 0))
+        for w in extract.streams(b):
+            for k in range(len(w) - span + 1):
+                seen.setdefault((host, *w[k : k + span]), set()).add(page)
     out = []
     for (_, host, _), b in zip(rows, found, strict=True):
         marks, at = set(), 0
@@ -258,13 +260,13 @@ def test_hosts_are_not_split(spark):
     cut = lambda t, n: f"<div>{' '.join(t[:n])}</div><p>{' '.join(t[n:])}</p>"
     pages = [(i, "hot", cut(t, rng.randrange(12))) for i, t in enumerate(text)] + [(1099, "hot", cut(text[3], 5)), (None, "hot", cut(text[0], 4)), (None, "hot", cut(text[0], 4))]
     menu = "<ul><li>a b</li><li>c</li><li>d e f</li><li>g h i</li></ul>"
-    pages += [(2000 + i, "b", f"{menu if i % 2 else '<nav>' + menu + '</nav>'}<article>x {i} y</article><div>own {i}</div>") for i in range(5)] + [(2005, "c", f"{menu}<p>alone"), (2006, "d", f"{menu}<p>twin"), (2007, "d", f"{menu}<p>twin")]
+    pages += [(2000 + i, "b", f"{menu if i % 2 else '<nav>' + menu + '</nav>'}<article>x {i} y</article><div>own {i}</div>") for i in range(5)] + [(2005, "c", f"{menu}<p>alone"), (2008, "e", f"<nav>{menu}</nav><article>z</article>"), (2009, "e", f"{menu}<p>landing"), (2006, "d", f"{menu}<p>twin"), (2007, "d", f"{menu}<p>twin")]
     rng.shuffle(pages)
     df = spark.createDataFrame([(i, f"http://{h}/", t) for i, h, t in pages], "page_id long, url string, html string").repartition(5)
     want = sorted((str(i), *x) for (i, _, _), x in zip(pages, brute_extract(pages), strict=True))
     assert sorted((str(r.page_id), r.text, r.n_covered) for r in extract.extract(df).collect()) == want
     got = {i: x for i, *x in want}
-    assert got["2001"] == ["x 1 y\nown 1", 9] and got["2005"][0].endswith("alone") and got["2006"] == got["2007"] and got["2006"][0].endswith("twin")
+    assert got["2001"] == ["x 1 y\nown 1", 9] and got["2005"][0].endswith("alone") and got["2006"] == got["2007"] and got["2006"][0].endswith("twin") and got["2009"] == ["landing", 9] and got["2008"] == ["z", 0]
 
 
 def test_class_names_are_read_whole():
@@ -338,12 +340,80 @@ def test_quality_odd_inputs(spark):
 def test_shrinkage(spark):
     """A sparse path lies nearer its host than its own share; a sparse host nearer the global share."""
     rows = [("big", "p", 0.9)] * 200 + [("big", "q", 0.1)] * 2 + [("small", "p", 0.1)] * 2 + [("mid", "p", 0.5)] * 100
-    scores = spark.createDataFrame([(i, h, p, 0.0, 0.0, c) for i, (h, p, c) in enumerate(rows)], "id long, host string, path string, p_junk double, p_toxic double, p_clean double")
+    scores = spark.createDataFrame([(i, 0, h, p, 0.0, 0.0, c) for i, (h, p, c) in enumerate(rows)], "id long, tag long, host string, path string, p_junk double, p_toxic double, p_clean double")
     got = {(r.host, r.path): r for r in quality.posteriors(scores, 0.5).collect()}
     assert 0.1 < got["big", "q"].path_rate < got["big", "q"].host_rate and got["small", "p"].host_rate > 0.3
     assert abs(got["mid", "p"].path_rate - 0.5) < 0.05
 
 
+def test_posteriors_against_brute_force(spark):
+    """Rates, prior strengths and posteriors, computed row by row."""
+    rng = random.Random(12)
+    rows = [(i, f"h{rng.randrange(5)}", f"p{rng.randrange(4)}", round(rng.betavariate(3, 1), 6)) for i in range(400)] + [(900, "lone", "p", 0.2)]
+    base = 0.8
+
+    def strength(groups):
+        n = sum(g[0] for g in groups)
+        within = sum(c * m * (1 - m) for c, _, m in groups) / n
+        between = max((sum(c * (s / c - m) ** 2 for c, s, m in groups) - len(groups) * within) / n, within * 1e-4)
+        return min(1e4, max(2.0, within / between - 1))
+
+    of = lambda k: {g: [r[3] for r in rows if r[1 : 1 + k] == g] for g in {r[1 : 1 + k] for r in rows}}
+    hosts, paths, mu = of(1), of(2), sum(r[3] for r in rows) / len(rows)
+    m = strength([(len(v), sum(v), mu) for v in hosts.values()])
+    k = strength([(len(v), sum(v), (sum(hosts[g[:1]]) + m * mu) / (len(hosts[g[:1]]) + m)) for g, v in paths.items()])
+    scores = spark.createDataFrame([(i, 0, h, p, 0.0, 0.0, c) for i, h, p, c in rows], "id long, tag long, host string, path string, p_junk double, p_toxic double, p_clean double")
+    got = {r.id: r for r in quality.posteriors(scores, base).collect()}
+    odds = lambda p: math.log(p / (1 - p))
+    for i, h, p, c in rows:
+        host = (sum(hosts[h,]) - c + m * mu) / (len(hosts[h,]) - 1 + m)
+        path = (sum(paths[h, p]) - c + k * host) / (len(paths[h, p]) - 1 + k)
+        want = 1 / (1 + math.exp(-(odds(c) + odds(path) - odds(base))))
+        assert (got[i].host_rate, got[i].path_rate, got[i].posterior) == pytest.approx((host, path, want), abs=1e-9)
+
+
+def test_features_against_brute_force(spark):
+    """A document's junk and toxic evidence, from its text and the fitted weights alone; long, empty and null texts."""
+    weights = quality.Model([0.1] * 10, [0.5] * 10, [0.2] * 10 + [-0.5], [1.0, 2.0, 0.5, -1.0], {"bad": 2.5, "^wors": 2.7, "evil": 4.0}, 0.7)
+    texts = ["Some BAD bad words, worse worst!", "clean | table | 12\nclean | table | 12", "evil " * 300_000, "", None, "  "]
+    df = spark.createDataFrame([(i, t, "h", "p", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, host int, p_junk int")
+    got = {r.id: r for r in quality.score(df, weights, "source", "lang").collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        if not w:
+            assert got[i].p_junk == pytest.approx(1 - 0.7) and got[i].p_toxic == pytest.approx(1 / (1 + math.exp(1)))
+            continue
+        lines = [x for x in t.split("\n") if x.strip()]
+        x = [math.log1p(len(w)) / 10, 1 - math.log(len(set(w))) / math.log(len(w)), sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w), min(1, 5 * sum(c in "|!%#*&$@~^<>=+_\\{}[]" for c in t) / len(t)), sum(a.isupper() and len(a) > 1 for a in w) / len(w), min(1, 2 * t.count("|") / len(w)), min(2, (len(t) - len(w) + 1) / len(w) / 10), 1 - len(set(lines)) / len(lines), min(1, 5 * sum(c.isdigit() for c in t) / len(t)), min(1, 10 * (1 - sum(map(len, w)) / len(t)) / 3)]
+        plain = {a.strip(".,!").lower() for a in w}
+        found = sorted([v for k, v in weights.lexicon.items() if k in plain or k[0] == "^" and any(a.startswith(k[1:]) and len(a) > len(k) - 1 for a in plain)], reverse=True)
+        y = [min(1, sum(found[:4]) / 16), min(1, len(found) / 8), 1.0 if found else 0.0]
+        sigmoid = lambda v: 1 / (1 + math.exp(-v))
+        assert got[i].p_junk == pytest.approx(sigmoid(sum(0.2 * (a - 0.1) / 0.5 for a in x) - 0.5)) and got[i].p_toxic == pytest.approx(sigmoid(y[0] + 2 * y[1] + 0.5 * y[2] - 1)), t
+
+
+def test_pages_have_hosts_and_paths(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", F.col("html").alias("text"))
+    own = quality.with_site(pages).select("url", "host", "path").collect()
+    assert all((r.host, r.path) == ((u := urlsplit(r.url)).hostname, u.path.split("/")[1] if "/" in u.path else "") for r in own)
+    labels = pages.selectExpr("page_id", "cast(page_id % 3 > 0 as int) as quality", "0 as toxic")
+    rows = quality.classify(quality.with_site(pages), labels, host="host", path="path", key="page_id").collect()
+    assert len(rows) == len(own) and len({r.host_rate for r in rows}) > 1
+    odd = spark.createDataFrame([(1, None), (2, "http://A.b"), (3, "x")], "page_id long, url string")
+    assert [(r.host, r.path) for r in quality.with_site(odd).orderBy("page_id").collect()] == [(None, None), ("a.b", ""), ("", "")]
+
+
+def test_rows_that_share_or_lack_an_id_are_filtered_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels)
+    found = quality.classify(docs, labels, model=model).collect()
+    good, bad = next(r.doc_id for r in found if r.posterior > 0.95), next(r.doc_id for r in found if r.posterior < 0.05)
+    some = docs.where(F.col("doc_id").isin(good, bad))
+    odd = some.withColumn("doc_id", F.lit(None).cast("long")).union(some.withColumn("doc_id", F.lit(5).cast("long")))
+    assert sorted(((r.doc_id, r.text) for r in quality.filter_clean(odd, labels, model=model).collect()), key=str) == sorted(((i, r.text) for r in some.collect() if r.doc_id == good for i in (None, 5)), key=str)
+
+
 def test_queries_return_every_row(spark):
     docs, pages = (spark.read.parquet(f"{SF}/{n}.parquet").count() for n in ("documents", "pages"))
     for name, n in (("op3_winnow_decontam", docs), ("op6_kd_shards", docs), ("op9_bayes_quality", docs), ("op8_zip_warc", pages), ("op10_host_suffix", pages)):
