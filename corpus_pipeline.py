@@ -2,8 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
 Parquet to the shared folder and rereads as the next one's docs. All but the last return the columns of documents, for
-the rows they keep. Rows are chosen by key, in joins that adaptive execution splits or broadcasts by size; fully equal
-rows are one row after the exact stage.
+the rows they keep. Operators judge rows, not ids: a row is known by its doc_id and a hash of all its columns, so rows
+that share or lack an id are kept or dropped apart. Of texts that are equal for the exact stage, one row stays.
 """
 
 from __future__ import annotations
@@ -12,35 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomalign.llm import cuckoo, decontam, omh, packing, quality
-from loomalign.llm.common import stored
+from loomalign.llm.common import row_tag, rows_of, stored
 from loomalign.llm.queries import tokenizer_path
 
 
-def _chosen(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id keys has, as they are."""
-    return docs.join(keys.select(F.col("doc_id").alias("_chosen")), docs["doc_id"] == F.col("_chosen"), "left_semi")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the classifier takes for junk or toxic go."""
     return quality.filter_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of equal texts the one with the smallest doc_id stays."""
-    kept = _chosen(docs, cuckoo.exact_groups(docs).where("kept"))
-    return kept.dropDuplicates(["doc_id", "text"])  # rows that repeat an id; dealt out by doc_id already
+    """Operator 4: of equal texts the row with the smallest doc_id stays; of several such rows, the one with the smallest hash."""
+    groups = cuckoo.exact_groups(docs, tag=row_tag(docs)).where("kept").groupBy("text_sha256")
+    kept = rows_of(docs, groups.agg(F.min(F.struct("doc_id", "tag")).alias("k")).select("k.*"))
+    return kept.dropDuplicates()  # rows that agree in all columns
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each near-duplicate class stays."""
-    return _chosen(docs, omh.near_classes(docs).where("kept"))
+    return rows_of(docs, omh.near_classes(docs, tag=row_tag(docs)).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents of which a twentieth or more is benchmark text go."""
-    report = decontam.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _chosen(docs, report.where(~decontam.contaminated()))
+    report = decontam.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tag=row_tag(docs))
+    return rows_of(docs, report.where(~decontam.contaminated()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
