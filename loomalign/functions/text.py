@@ -25,13 +25,23 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def _bare(c: Column) -> Column:
+    """Do both ends hold visible ASCII characters? Then there is nothing to strip, and no pattern has to run."""
+    return F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+
+
+def strip_cell(c: Column) -> Column:
+    """strip() for a plain column, fast for cells without outer white space."""
+    return F.when(_bare(c), c).otherwise(strip(c))
+
+
 def normalise_name(c: Column) -> Column:
     """A column name without byte-order marks and outer white space; null becomes empty."""
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), "﻿", ""))
 
 
 def is_missing(c: Column) -> Column:
-    return strip(c).isin(*MISSING)
+    return F.when(_bare(c), c.isin(*MISSING)).otherwise(strip(c).isin(*MISSING))
 
 
 def is_number(c: Column) -> Column:

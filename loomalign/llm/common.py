@@ -76,12 +76,15 @@ def row_tag(docs: DataFrame) -> Column:
     return F.xxhash64(*[docs[c] for c in docs.columns])
 
 
-def rows_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose (key, tag) keys has, as they are; null is a key like any other. Adaptive execution splits the join, or broadcasts keys, by size."""
+def rows_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", once: bool = False) -> DataFrame:
+    """The rows of docs whose (key, tag) keys has, as they are; null is a key like any other. once: one of rows that agree in all columns.
+
+    Adaptive execution splits the join, or broadcasts keys, by size.
+    """
     own = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
     chosen = keys.select(F.xxhash64("tag", own).alias("_loom_t"), own.alias("_loom_k"))
     found = docs.withColumns({"_loom_t": F.xxhash64(row_tag(docs), own), "_loom_k": own}).join(chosen, ["_loom_t", "_loom_k"], "left_semi")
-    return found.drop("_loom_t", "_loom_k")
+    return (found.dropDuplicates(["_loom_t", "_loom_k"]) if once else found).drop("_loom_t", "_loom_k")  # dealt out by these already
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -313,8 +313,8 @@ def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK
             later = end - np.arange(len(row)) - 1  # members of the group behind each
             until = np.cumsum(later)
             at = 0
-            while at < len(row):  # about four million pairs at a time
-                to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + (1 << 22), "right")))
+            while at < len(row):  # some hundred thousand pairs at a time, which bounds memory
+                to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + (1 << 18), "right")))
                 k = later[at:to]
                 a = np.repeat(np.arange(at, to), k)
                 b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)

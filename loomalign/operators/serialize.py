@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.text import draw, is_missing, let, strip
-from loomalign.operators.profile import COLUMN, column_list, column_types, first_cells, numeric_features
+from loomalign.functions.text import draw, is_missing, let, strip, strip_cell
+from loomalign.operators.profile import COLUMN, column_list, column_types, first_present, numeric_features
 
 
-def _joined(cells: DataFrame, value: Column, n: int, sep: str = " ") -> DataFrame:
-    """The first n cells of each column, joined in row order."""
-    seen = first_cells(cells, n).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("row_idx", value.alias("v")))).alias("c"))
+def _joined(cells: DataFrame, test: Column, value: Column, n: int, sep: str = " ") -> DataFrame:
+    """The first n cells of each column that pass a test, joined in row order."""
+    seen = first_present(cells, n, test).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("row_idx", value.alias("v")))).alias("c"))
     return column_list(cells).join(seen.select(*COLUMN, F.array_join(F.transform("c", lambda x: x["v"]), sep).alias("vals")), COLUMN, "left")
 
 
 def column_texts(cells: DataFrame, max_cells: int = 128, table_name: bool = False, name: bool = True) -> DataFrame:
     """'[table T] column N values v1 v2 ...' from the first non-missing cells; without both names the values alone."""
-    found = _joined(cells.where(~is_missing(F.col("value"))).join(column_list(cells), COLUMN, "right"), strip(F.col("value")), max_cells)
+    found = _joined(cells, ~is_missing(F.col("value")), strip_cell(F.col("value")), max_cells)
     vals = F.nullif(F.coalesce("vals", F.lit("")), F.lit(""))
     parts = [F.concat(F.lit("table "), "table_name")] * table_name + [F.concat(F.lit("column "), "column_name")] * name
     text = F.concat_ws(" ", *parts, F.concat(F.lit("values "), vals)) if parts else F.coalesce(vals, F.lit(""))
@@ -26,8 +26,8 @@ def column_texts(cells: DataFrame, max_cells: int = 128, table_name: bool = Fals
 
 def value_texts(cells: DataFrame, max_cells: int = 128) -> DataFrame:
     """Values alone; blanks are dropped, missing markers stay."""
-    v = strip(F.col("value"))
-    return _joined(cells.where(v != "").join(column_list(cells), COLUMN, "right"), v, max_cells).select(*COLUMN, F.coalesce("vals", F.lit("")).alias("text"))
+    v = strip_cell(F.col("value"))
+    return _joined(cells, v != "", v, max_cells).select(*COLUMN, F.coalesce("vals", F.lit("")).alias("text"))
 
 
 def corpus_texts(cells: DataFrame, max_cells: int = 128) -> DataFrame:
@@ -40,7 +40,7 @@ def corpus_texts(cells: DataFrame, max_cells: int = 128) -> DataFrame:
 
 def sample_values(cells: DataFrame, n: int = 20) -> DataFrame:
     """The first n non-missing values joined by a space: the view (tid, table_name, column_name, sample_values)."""
-    found = _joined(cells.where(~is_missing(F.col("value"))).join(column_list(cells), COLUMN, "right"), strip(F.col("value")), n)
+    found = _joined(cells, ~is_missing(F.col("value")), strip_cell(F.col("value")), n)
     tid = F.row_number().over(Window.orderBy("table_id", "col_idx")) - 1  # one row a column
     return found.select(tid.alias("tid"), "table_name", "column_name", F.coalesce("vals", F.lit("")).alias("sample_values"))
 
@@ -51,7 +51,7 @@ def profile_texts(cells: DataFrame, examples: int = 10) -> DataFrame:
     Stats are min, max, mean and std to four digits for numeric columns, else the five most frequent values with their
     shares of the non-missing cells.
     """
-    v = cells.where(~is_missing(F.col("value"))).select(*COLUMN, strip(F.col("value")).alias("v"), "row_idx")
+    v = cells.where(~is_missing(F.col("value"))).select(*COLUMN, strip_cell(F.col("value")).alias("v"), "row_idx")
     counts = v.groupBy(*COLUMN, "v").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first"))
     total = counts.groupBy(*COLUMN).agg(F.sum("n").alias("total"))
     by = lambda *order: F.row_number().over(Window.partitionBy(*COLUMN).orderBy(*order))

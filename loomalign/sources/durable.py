@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and all run on this machine, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file:///tmp/checkpoints/loomalign"
         os.makedirs("/tmp/checkpoints/loomalign", exist_ok=True)
     return own.rstrip("/")
@@ -27,6 +30,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks of a shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def numbered(df: DataFrame, order: str, name: str = "k") -> DataFrame:
     """df with a gapless number from 0 in the order of a column: ranges are numbered apart and their counts summed up, so no task gets all rows."""
     from pyspark.sql import Window

@@ -28,8 +28,12 @@ def table_cells(df: DataFrame, table_id: int, table_name: str, row_idx: Column |
     """A table as one row a cell. row_idx: a long that orders the rows (a key), so no global numbering is needed."""
     columns = columns or df.columns
     row = F.expr(row_idx) if isinstance(row_idx, str) else row_idx
-    cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for i, c in enumerate(columns)])
-    return df.select(row.cast("long").alias("row_idx"), F.explode(cells).alias("c")).select(F.lit(table_id).alias("table_id"), F.lit(table_name).alias("table_name"), "c.col_idx", "c.column_name", "row_idx", "c.value")
+    # A cell's value is picked after the numbers are exploded, so that a plan that needs none reads no column but the row's.
+    wide = df.select(row.cast("long").alias("row_idx"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    long = wide.withColumn("col_idx", F.explode(F.array(*[F.lit(i) for i in range(len(columns))])))
+    pick = lambda values: F.coalesce(*[F.when(F.col("col_idx") == i, v) for i, v in enumerate(values)])
+    value = pick([F.coalesce(F.col(f"_v{i}").cast("string"), F.lit("")) for i in range(len(columns))])
+    return long.select(F.lit(table_id).alias("table_id"), F.lit(table_name).alias("table_name"), "col_idx", pick(map(F.lit, columns)).alias("column_name"), "row_idx", value.alias("value"))
 
 
 def read_csv_cells(spark: SparkSession, path: str, table_id: int = 0, max_rows: int = 50_000, short_rows: str = "empty") -> DataFrame:
