@@ -119,6 +119,19 @@ def family_compatibility(a: Column, b: Column, rules: Sequence[tuple] = FAMILIES
     return F.when((x == "unknown") | (y == "unknown") | (x == y), 1.0).otherwise(penalty)
 
 
+def general(x: Column, digits: int = 4) -> Column:
+    """A double in the form of C's %.{digits}g: that many significant digits (a half is rounded up), no trailing zeros, an exponent below -4 and from `digits` on."""
+    clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    ten = lambda k: F.pow(F.lit(10.0), k)
+    e = F.split(F.format_string("%.16e", x), "e")[1].cast("int")
+    m = F.round(F.when(e >= digits - 1, F.abs(x) / ten(e - (digits - 1))).otherwise(F.abs(x) * ten(F.lit(digits - 1) - e)), 0)
+    over = m >= 10**digits
+    m, e = F.when(over, m / 10).otherwise(m), F.when(over, e + 1).otherwise(e)
+    fixed = clean(F.format_string(f"%.{digits + 3}f", F.when(e >= digits - 1, m).otherwise(m / ten(F.lit(digits - 1) - e))))
+    power = F.concat(clean(F.format_string(f"%.{digits - 1}f", m / 10 ** (digits - 1))), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when((e < -4) | (e >= digits), power).otherwise(fixed)))
+
+
 def draw(*parts: Column) -> Column:
     """A repeatable number from 0 to 2 ** 32 - 1 for a key: the first eight digits of its MD5, so SQL engines agree on it."""
     key = F.concat_ws("|", *[p.cast("string") for p in parts])

@@ -5,27 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.similarity import dot
+from loomalign.sources.durable import stored, width
 
 
-def in_blocks(left: DataFrame, right: DataFrame, on: Column | None = None, blocks: int = 8) -> DataFrame:
+def in_blocks(left: DataFrame, right: DataFrame, on: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Every row of left against every row of right, as an equi-join on blocks: left is dealt out, right goes to each block.
 
-    Both sides stay distributed; blocks * |right| rows move. Column names must differ.
+    Both sides stay distributed; blocks * |right| rows move. blocks: as many as a shuffle has tasks, unless it is given.
+    Column names must differ.
     """
+    blocks = blocks or width(left.sparkSession)
     a = left.withColumn("_block", F.pmod(F.xxhash64(*left.columns[:1]), F.lit(blocks)))
     b = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     out = a.join(b, "_block").drop("_block")
     return out if on is None else out.where(on)
 
 
-def node_pairs(nodes: DataFrame, score: Column | None = None, same_table: bool = False) -> DataFrame:
-    """Unordered pairs (a, b, ta, tb, score), a < b, of nodes (node, table_id, embedding); each is scored once."""
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("table_id").alias(f"t{n}"), F.col("embedding").alias(f"e{n}"))
-    on = F.col("a") < F.col("b")
-    if not same_table:
-        on = on & (F.col("ta") != F.col("tb"))
-    return in_blocks(side("a"), side("b"), on).select("a", "b", "ta", "tb", (dot(F.col("ea"), F.col("eb")) if score is None else score).alias("score"))
+def products(x, y):
+    """Dot products of all rows of x with all rows of y, summed up in the order of the dimensions, like the expression dot()."""
+    import numpy as np
+
+    out = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        out += np.multiply.outer(x[:, d], y[:, d])
+    return out
+
+
+def matrix(column):
+    """Rows of an Arrow list column as a matrix of doubles."""
+    import numpy as np
+
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def block_count(n: int, rows: int) -> int:
+    return max(1, -(-n // rows))
+
+
+def node_pairs(nodes: DataFrame, same_table: bool = False, rows: int = 512) -> DataFrame:
+    """Unordered pairs (a, b, ta, tb, score), a < b, of nodes (node, table_id, embedding); each is scored once.
+
+    Nodes are dealt into blocks of about `rows`; every pair of blocks is a group of its own, scored by NumPy. So the number
+    of tasks grows with the nodes, and a task holds two blocks and their pairs.
+    """
+    nodes = stored(nodes.select("node", "table_id", "embedding"), "nodes")
+    blocks = block_count(nodes.count(), rows)
+    own = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    cells = cells.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "table_id", "embedding")
+    kinds = dict(nodes.dtypes)
+
+    kind = f"a {kinds['node']}, b {kinds['node']}, ta {kinds['table_id']}, tb {kinds['table_id']}, score double"
+
+    def score(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        i, j = (k.as_py() for k in key)
+        out = []
+        block, node, of = (table.column(c).to_numpy() for c in ("block", "node", "table_id"))
+        e = matrix(table.column("embedding"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            keep = np.ones((len(x), len(right)), bool) if same_table else of[x][:, None] != of[right][None, :]
+            if i == j:
+                keep &= node[x][:, None] < node[right][None, :]
+            p, q = np.nonzero(keep)
+            s = products(e[x], e[right])[p, q]
+            p, q = x[p], right[q]
+            swap = node[p] > node[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            out.append(pa.record_batch([pa.array(v, table.schema.field(c).type) for v, c in ((node[p], "node"), (node[q], "node"), (of[p], "table_id"), (of[q], "table_id"))] + [pa.array(s)], names=["a", "b", "ta", "tb", "score"]))
+        names = {"a": "node", "b": "node", "ta": "table_id", "tb": "table_id"}
+        return pa.Table.from_batches(out, pa.schema([*[(k, table.schema.field(c).type) for k, c in names.items()], ("score", pa.float64())]))
+
+    return cells.groupBy("i", "j").applyInArrow(score, kind)
 
 
 def mirrored(pairs: DataFrame, *more: str) -> DataFrame:
@@ -87,4 +143,4 @@ def heuristic_scores(target: DataFrame, reference: DataFrame) -> DataFrame:
 
     side = lambda p, n: p.select(F.col("column_name").alias(n), F.col("type").alias(f"type_{n}"), F.col("numeric_features").alias(f"f_{n}"), F.col("categorical_values").alias(f"v_{n}"))
     score = profile_similarity(*[F.col(f"{x}_{n}") for x in ("type", "f", "v") for n in ("tgt", "ref")])
-    return in_blocks(side(target, "tgt"), side(reference, "ref"), blocks=2).select("tgt", "ref", score.alias("score"))
+    return in_blocks(side(target, "tgt"), side(reference, "ref")).select("tgt", "ref", score.alias("score"))

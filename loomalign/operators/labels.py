@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomalign.functions.text import draw, normalise_name
 from loomalign.operators.candidates import in_blocks
-from loomalign.sources.durable import numbered, numbered_within
+from loomalign.operators.order import nth_value
+from loomalign.sources.durable import numbered, numbered_within, stored
 
 
 def unlabelled(pairs: DataFrame) -> DataFrame:
@@ -20,16 +21,15 @@ def header_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(left, right, left_text, right_text, label) of all columns (column_name, text) of two tables; label: equal headers but for case and outer space."""
     side = lambda t, n: t.select(F.col("column_name").alias(n), F.col("text").alias(f"{n}_text"))
     bare = lambda c: F.lower(normalise_name(F.col(c)))
-    return in_blocks(side(a, "left"), side(b, "right"), blocks=2).withColumn("label", (bare("left") == bare("right")).cast("int"))
+    return in_blocks(side(a, "left"), side(b, "right")).withColumn("label", (bare("left") == bare("right")).cast("int"))
 
 
 def split_80_10_10(pairs: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
     """pairs with split (train, valid, test): shuffled by hash of the keys, then cut at 80 and 90 percent by place."""
     n = pairs.agg(F.count(F.lit(1)).alias("n"))
-    order = [draw(F.lit(seed), *map(F.col, keys)), *keys]
-    placed = pairs.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)  # pairs of columns, a few per table pair
-    at = F.col("place")
-    return placed.join(F.broadcast(n)).withColumn("split", F.when(at < F.floor(0.8 * F.col("n")), "train").when(at < F.floor(0.9 * F.col("n")), "valid").otherwise("test")).drop("n", "place")
+    order = F.struct(draw(F.lit(seed), *map(F.col, keys)).alias("draw"), *keys)
+    placed, at = numbered(pairs.withColumn("_order", order), "_order", "place"), F.col("place")
+    return placed.join(F.broadcast(n)).withColumn("split", F.when(at < F.floor(0.8 * F.col("n")), "train").when(at < F.floor(0.9 * F.col("n")), "valid").otherwise("test")).drop("n", "place", "_order")
 
 
 def bootstrap_thresholds(scored: DataFrame, size: int, multiplier: int) -> tuple[float, float]:
@@ -41,8 +41,8 @@ def bootstrap_thresholds(scored: DataFrame, size: int, multiplier: int) -> tuple
     if not n:
         return 1.0, -1.0
     # sorted[-more] and sorted[less]: with more = 0 the first one indexes the smallest score, as in the original definition.
-    low = rest.orderBy("score").limit(min(less, n - 1) + 1).agg(F.max("score")).first()[0]
-    high = rest.agg(F.min("score")).first()[0] if more == 0 else rest.orderBy(F.desc("score")).limit(min(more, n)).agg(F.min("score")).first()[0]
+    low = nth_value(rest, "score", min(less, n - 1) + 1)
+    high = nth_value(rest, "score", 1) if more == 0 else nth_value(rest, "score", min(more, n), largest=True)
     return high, low
 
 
@@ -76,13 +76,13 @@ def cleaning_bootstrap(labelled: DataFrame, pool: DataFrame, similarity: DataFra
     its factor * (labelled rows of the class)-th most similar pool row (the least one if there are fewer).
     """
     near = similarity.withColumn("rank", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "l"))).where("rank = 1")
-    near = near.join(pool.select(F.col("id").alias("r")), "r").join(labelled.select(F.col("id").alias("l"), "label"), "l").select("r", "score", "label")
+    near = stored(near.join(pool.select(F.col("id").alias("r")), "r").join(labelled.select(F.col("id").alias("l"), "label"), "l").select("r", "score", "label"), "nearest")
     wanted = {r["label"]: factor * r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
     out = None
     for label, n in sorted(wanted.items()):
         own = near.where(F.col("label") == label)
-        least = own.orderBy(F.desc("score")).limit(n).agg(F.min("score").alias("least"))
-        kept = own.join(F.broadcast(least)).where("score >= least").select(F.col("r").alias("id"), "label")
+        least = nth_value(own, "score", n, largest=True)
+        kept = own.where(F.col("score") >= F.lit(least)).select(F.col("r").alias("id"), "label")
         out = kept if out is None else out.unionByName(kept)
     return out if out is not None else near.select(F.col("r").alias("id"), "label")
 

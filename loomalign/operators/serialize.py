@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.text import draw, is_missing, let, strip, strip_cell
+from loomalign.functions.text import draw, general, is_missing, let, strip, strip_cell
 from loomalign.operators.profile import COLUMN, column_list, column_types, first_present, numeric_features
 
 
@@ -49,19 +49,20 @@ def profile_texts(cells: DataFrame, examples: int = 10) -> DataFrame:
     """'COL table VAL t COL colname VAL c COL type VAL k COL stats VAL ... COL examples VAL a ; b ; ...'.
 
     Stats are min, max, mean and std to four digits for numeric columns, else the five most frequent values with their
-    shares of the non-missing cells.
+    shares of the non-missing cells. Examples are the first non-missing cells.
     """
-    v = cells.where(~is_missing(F.col("value"))).select(*COLUMN, strip_cell(F.col("value")).alias("v"), "row_idx")
-    counts = v.groupBy(*COLUMN, "v").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first"))
+    present = ~is_missing(F.col("value"))
+    v = cells.where(present).select(*COLUMN, strip_cell(F.col("value")).alias("v"))
+    counts = v.groupBy(*COLUMN, "v").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(*COLUMN).agg(F.sum("n").alias("total"))
-    by = lambda *order: F.row_number().over(Window.partitionBy(*COLUMN).orderBy(*order))
-    ranked = counts.withColumn("often", by(F.desc("n"), "v")).withColumn("early", by("first", "v"))
-    top = ranked.where("often <= 5").join(total, COLUMN).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("often", F.format_string("%s (%.2f)", "v", F.col("n") / F.col("total")).alias("t")))).alias("c"))
-    shown = ranked.where(F.col("early") <= examples).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("early", "v"))).alias("e"))
+    ranked = counts.withColumn("often", F.row_number().over(Window.partitionBy(*COLUMN).orderBy(F.desc("n"), "v")))
+    cents = F.floor((200 * F.col("n") + F.col("total")) / (2 * F.col("total")))  # in whole numbers, so that ties are rounded up everywhere
+    top = ranked.where("often <= 5").join(total, COLUMN).groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("often", F.format_string("%s (%d.%02d)", "v", F.floor(cents / 100), cents % 100).alias("t")))).alias("c"))
     f = numeric_features(cells)
-    numbers = F.concat_ws(" ", *[F.concat(F.lit(f"{n} "), F.format_string("%.4g", F.get("numeric_features", F.lit(i)))) for n, i in (("min", 2), ("max", 3), ("mean", 0), ("std", 1))])
-    stats = F.when(F.col("type") == "numeric", numbers).otherwise(F.array_join(F.transform("c", lambda x: x["t"]), " "))
-    text = F.concat(F.lit("COL table VAL "), "table_name", F.lit(" COL colname VAL "), "column_name", F.lit(" COL type VAL "), "type", F.lit(" COL stats VAL "), F.coalesce(stats, F.lit("")), F.lit(" COL examples VAL "), F.coalesce(F.array_join(F.transform("e", lambda x: x["v"]), " ; "), F.lit("")))
+    numbers = F.concat_ws(" ", *[F.concat(F.lit(f"{n} "), general(F.round(F.get("numeric_features", F.lit(i)), 9))) for n, i in (("min", 2), ("max", 3), ("mean", 0), ("std", 1))])
+    stats = F.when(F.col("type") == "numeric", numbers).otherwise(F.array_join(F.transform("c", lambda x: x["t"]), " ; "))
+    text = F.concat(F.lit("COL table VAL "), "table_name", F.lit(" COL colname VAL "), "column_name", F.lit(" COL type VAL "), "type", F.lit(" COL stats VAL "), F.coalesce(stats, F.lit("")), F.lit(" COL examples VAL "), F.coalesce("vals", F.lit("")))
+    shown = _joined(cells, present, strip_cell(F.col("value")), examples, " ; ")
     return column_types(cells).join(f, COLUMN).join(top, COLUMN, "left").join(shown, COLUMN, "left").select(*COLUMN, text.alias("text"))
 
 

@@ -12,6 +12,7 @@ from loomalign.functions import similarity as sim
 from loomalign.functions import text as tx
 from loomalign.operators import augment, blocking, candidates, evaluate, graph, labels, linkage, profile, serialize
 from loomalign.sources import tables
+from loomalign.sources.durable import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,7 +122,21 @@ def serialize_samples(spark, sf_dir):
     return serialize.sample_values(cells(spark, sf_dir, "part", "customer"))
 
 
-@query()
+def general_sql(x: str) -> str:
+    """Four significant digits, as functions.text.general writes them."""
+    clean = r"regexp_replace(regexp_replace({0}, '(\.\d*?)0+$', '\1'), '\.$', '')"
+    e0 = f"string_split(printf('%.16e', {x}), 'e')[2]::INTEGER"
+    m0 = f"round(CASE WHEN {e0} >= 3 THEN abs({x}) / pow(10::DOUBLE, {e0} - 3) ELSE abs({x}) * pow(10::DOUBLE, 3 - {e0}) END)"
+    m, e = f"(CASE WHEN {m0} >= 10000 THEN {m0} / 10 ELSE {m0} END)", f"({e0} + ({m0} >= 10000)::INTEGER)"
+    fixed = clean.format(f"printf('%.7f', CASE WHEN {e} >= 3 THEN {m} ELSE {m} / pow(10::DOUBLE, 3 - {e}) END)")
+    power = clean.format(f"printf('%.3f', {m} / 1000)") + f" || CASE WHEN {e} < 0 THEN 'e-' ELSE 'e+' END || CASE WHEN abs({e}) < 10 THEN '0' ELSE '' END || abs({e})::VARCHAR"
+    return f"CASE WHEN {x} = 0 THEN '0' ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE WHEN {e} < -4 OR {e} >= 4 THEN {power} ELSE {fixed} END END"
+
+
+SHARES_SQL = "tot AS (SELECT table_name, column_name, s, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_name, column_name) AS total, row_number() OVER (PARTITION BY table_name, column_name ORDER BY count(*) DESC, s) AS often FROM kept GROUP BY table_name, column_name, s), shares AS (SELECT table_name, column_name, string_agg(printf('%s (%d.%02d)', s, (200 * n + total) // (2 * total) // 100, (200 * n + total) // (2 * total) % 100), ' ; ' ORDER BY often) AS top FROM tot WHERE often <= 5 GROUP BY ALL)"
+
+
+@query(f"WITH {cells_sql('part', 'customer')}, {TYPES_SQL}, {FEATURES_SQL}, {SHARES_SQL}, shown AS (SELECT table_name, column_name, string_agg(s, ' ; ' ORDER BY row_idx) AS vals FROM kept WHERE r <= 10 GROUP BY ALL) SELECT table_name, column_name, 'COL table VAL ' || table_name || ' COL colname VAL ' || column_name || ' COL type VAL ' || type || ' COL stats VAL ' || CASE WHEN type = 'numeric' THEN {' || '.join(f"'{' ' * (i > 0)}{n} ' || {general_sql(f'round({c}, 9)')}" for i, (n, c) in enumerate((('min', 'lo'), ('max', 'hi'), ('mean', 'mean'), ('std', 'sd'))))} ELSE top END || ' COL examples VAL ' || vals AS text FROM types JOIN feats USING (table_name, column_name) JOIN shares USING (table_name, column_name) JOIN shown USING (table_name, column_name)")
 def serialize_profile(spark, sf_dir):
     return serialize.profile_texts(cells(spark, sf_dir, "part", "customer")).select("table_name", "column_name", "text")
 
@@ -207,12 +222,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str, same_table: bool = True) -> DataFrame:
+    """Stored, since both directions of a pair and several joins read it."""
     p = candidates.node_pairs(vectors(spark, sf_dir), same_table=same_table)
-    return p.withColumn("score", F.round("score", 9))
+    return stored(p.withColumn("score", F.round("score", 9)), "pairs")
 
 
 def two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored_pairs(spark, sf_dir, False).where("(ta = 0 and tb = 1) or (ta = 1 and tb = 0)")
+    p = candidates.node_pairs(vectors(spark, sf_dir).where("table_id in (0, 1)")).withColumn("score", F.round("score", 9))
     return p.select(F.when(F.col("ta") == 1, F.col("a")).otherwise(F.col("b")).alias("tgt"), F.when(F.col("ta") == 0, F.col("a")).otherwise(F.col("b")).alias("ref"), "score")
 
 
@@ -515,7 +531,10 @@ def cleaning_bootstrap(spark, sf_dir):
     return labels.cleaning_bootstrap(gold.select("id", "label"), pool.select("id"), blocking.vector_pairs(gold, pool).withColumn("score", F.round("score", 9)))
 
 
-@query()
+NEGATIVES_SQL = f"le AS (SELECT vec_id AS id, label AS cluster FROM embeddings WHERE vec_id % 2 = 0), ri AS (SELECT vec_id AS id, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, row_number() OVER (ORDER BY vec_id) - 1 AS j, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE vec_id % 2 = 1), dr AS (SELECT le.id AS l, le.cluster, turn, (SELECT max(n) FROM ri WHERE ri.cluster = le.cluster) AS n, (SELECT count(*) FROM ri) AS total, {draw_sql('0', 'le.id', 'turn')} AS d FROM le, (SELECT unnest(range(10)) AS turn)), pk AS (SELECT l, turn, ri.id AS r FROM dr JOIN ri ON CASE WHEN dr.n IS NULL THEN ri.j = d % total ELSE ri.cluster = dr.cluster AND ri.k = d % dr.n END), ok AS (SELECT l, r, min(turn) AS turn FROM pk WHERE r <> l + 1 AND l <> r GROUP BY l, r)"
+
+
+@query(f'WITH {NEGATIVES_SQL} SELECT l AS "left", r AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY turn, r) AS k FROM ok) WHERE k <= 2')
 def cluster_negatives(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
     positives = e.select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))

@@ -47,13 +47,10 @@ def numbered(df: DataFrame, order: str, name: str = "k") -> DataFrame:
     return parts.withColumn("_own", own).join(before, "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
 
 
-def numbered_within(df: DataFrame, by: list[str], order: str, name: str = "k", cells: int = 64) -> DataFrame:
-    """df with a gapless number from 0 inside each group of by. A group is numbered in cells by hash of order, so a hot group is no single task's."""
-    from pyspark.sql import Window
+def numbered_within(df: DataFrame, by: list[str], order: str, name: str = "k") -> DataFrame:
+    """df with a gapless number from 0 inside each group of by, in the order of a column. Rows are numbered over all groups in ranges, so a hot group is no single task's."""
     from pyspark.sql import functions as F
 
-    rows = df.withColumn("_cell", F.pmod(F.xxhash64(order), F.lit(cells)))
-    counts = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(order))
-    return rows.withColumn("_own", own).join(before, [*by, "_cell"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_cell", "_own", "_before")
+    rows = stored(numbered(df.withColumn("_within", F.struct(*by, order)), "_within", "_all").drop("_within"), "numbered-all")
+    first = rows.groupBy(*by).agg(F.min("_all").alias("_first"))
+    return rows.join(first, by).withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_first")

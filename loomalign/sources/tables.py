@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomalign.functions.text import draw, is_missing, normalise_name, strip
-from loomalign.sources.durable import numbered
+from loomalign.sources.durable import numbered, stored
 
 CELLS = "table_id int, table_name string, col_idx int, column_name string, row_idx long, value string"
 
+CSV = {"header": False, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
+
 # Fixed value: the label file that a folder of tables may hold beside them.
 NOT_TABLES = frozenset(["multi_gt.csv"])
 
@@ -39,29 +41,40 @@ def table_cells(df: DataFrame, table_id: int, table_name: str, row_idx: Column |
 def read_csv_cells(spark: SparkSession, path: str, table_id: int = 0, max_rows: int = 50_000, short_rows: str = "empty") -> DataFrame:
     """Cells of a CSV file. Header names lose byte-order marks and outer space; of equal names the last column wins.
 
-    Rows keep the file's order: a line's index is its place in a single-partition scan of that file, first max_rows. Cells
-    that a short row lacks are empty (short_rows "empty") or left out ("skip"); surplus cells are dropped.
+    Rows keep the file's order: a file with quoted line ends cannot be split, so it is one task's, which stops reading after
+    max_rows rows. Cells that a short row lacks are empty (short_rows "empty") or left out ("skip"); surplus cells are
+    dropped here and counted by surplus_cells().
     """
-    options = {"header": False, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
-    head = spark.read.options(**options).csv(path).limit(1).collect()
+    head = spark.read.options(**CSV).csv(path).limit(1).collect()
     if not head:
         return spark.createDataFrame([], CELLS)
     names = [(i, (v or "").replace("﻿", "").strip()) for i, v in enumerate(head[0])]
     last = {n: i for i, n in names}
     schema = ", ".join(f"c{i} string" for i, _ in names)
-    raw = spark.read.options(**options).schema(schema).csv(path).coalesce(1).withColumn("_row", F.monotonically_increasing_id() - 1)
+    raw = spark.read.options(**CSV).schema(schema).csv(path).limit(max_rows + 1).coalesce(1).withColumn("_row", F.monotonically_increasing_id() - 1)
     raw = raw.where((F.col("_row") >= 0) & (F.col("_row") < max_rows))
     cells = F.array(*[F.struct(F.lit(k).alias("col_idx"), F.lit(n).alias("column_name"), F.col(f"c{last[n]}").alias("value")) for k, n in enumerate(dict.fromkeys(n for _, n in names))])
     out = raw.select(F.col("_row").alias("row_idx"), F.explode(cells).alias("c")).select(F.lit(table_id).alias("table_id"), F.lit(os.path.basename(path)).alias("table_name"), "c.col_idx", "c.column_name", "row_idx", "c.value")
     return out.where(F.col("value").isNotNull()) if short_rows == "skip" else out.withColumn("value", F.coalesce("value", F.lit("")))
 
 
+def surplus_cells(spark: SparkSession, path: str) -> int:
+    """How many rows of a CSV file hold something beyond the header's last column, which read_csv_cells drops."""
+    head = spark.read.options(**CSV).csv(path).limit(1).collect()
+    if not head:
+        return 0
+    k = len(head[0])
+    wider = spark.read.options(**CSV).schema(", ".join(f"c{i} string" for i in range(k + 1))).csv(path)
+    return wider.where(F.col(f"c{k}").isNotNull()).count()
+
+
 def read_tables(spark: SparkSession, paths: Sequence[str], max_rows: int = 50_000, skip_bad: bool = False) -> DataFrame:
-    """Cells of several CSV files, numbered in order. skip_bad: leave out a file that cannot be read, and say so."""
+    """Cells of several CSV files, numbered in order. skip_bad: leave out a file that cannot be read to its end, and say so; files are read, and stored, at once."""
     out = None
     for i, p in enumerate(paths):
         try:
             cells = read_csv_cells(spark, p, i, max_rows)
+            cells = stored(cells, "cells") if skip_bad else cells
         except Exception as e:
             if not skip_bad:
                 raise
@@ -81,11 +94,19 @@ def record_lines(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped non-empty lines (id, text) in file order; a missing file has none."""
-    if not os.path.exists(path.removeprefix("file://")):
+    """Stripped non-empty lines (id, text), numbered from 0 in file order; a missing file has none.
+
+    Each split of the file numbers its own lines, and the splits' counts are summed up, so a file of any size is read in parallel.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "id long, text string")
-    lines = spark.read.text(path).coalesce(1).select(F.monotonically_increasing_id().alias("id"), strip(F.col("value")).alias("text"))
-    return lines.where("text != ''")
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("text"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")).where("text != ''")
+    lines = stored(lines, "lines")
+    counts = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("split", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("before"))  # one row a split
+    own = F.row_number().over(Window.partitionBy("split").orderBy("at")) - 1
+    return lines.withColumn("own", own).join(before, "split").select((F.col("before") + F.col("own")).alias("id"), "text")
 
 
 def read_labelled(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from loomalign.operators import augment, blocking, labels, linkage, serialize
+from loomalign.functions.text import general
+from loomalign.operators import augment, blocking, labels, linkage, profile, serialize
 from loomalign.operators.encode import FunctionEncoder, GivenVectors, HashedEncoder
+from loomalign.operators.order import nth_in_groups, nth_value
 from loomalign.plans import cli, matchers, records
 from loomalign.plans.queries import ORACLES, QUERIES
 from loomalign.sources import sinks, tables
@@ -27,6 +29,11 @@ def test_sources(spark, folder):
     cells = {(r.table_name, r.column_name, r.row_idx): r.value for r in tables.read_tables(spark, paths).collect()}
     assert cells["a.csv", "id", 0] == "1" and cells["a.csv", "city", 2] == "Two\nlines" and cells["b.csv", "x", 1] == "" and cells["b.csv", "x", 2] == "3"
     assert ("b.csv", "x", 1) not in {(r.table_name, r.column_name, r.row_idx) for r in tables.read_csv_cells(spark, paths[1], short_rows="skip").collect()}
+    assert [tables.surplus_cells(spark, p) for p in paths] == [0, 1]
+    assert {r.table_name for r in tables.read_tables(spark, [*paths, str(folder / "no.csv")], skip_bad=True).select("table_name").distinct().collect()} == {"a.csv", "b.csv"}
+    (folder / "lines").write_text("a\tb\t1\n\n  \nc\t0\nd\n" + "e\tf\t0\n" * 3)
+    assert [(r.id, r.text) for r in tables.read_lines(spark, str(folder / "lines")).orderBy("id").limit(3).collect()] == [(0, "a\tb\t1"), (1, "c\t0"), (2, "d")]
+    assert [tuple(r) for r in tables.read_labelled(spark, str(folder / "lines"), 4).orderBy("pair_id").collect()] == [(0, "a", "b", 1), (1, "c", "", 0), (3, "e", "f", 0)]
     truth = tables.read_column_truth(spark, str(folder / "multi_gt.csv"))
     assert {tuple(r) for r in truth.collect()} == {("a.csv::city", "b.csv::town"), ("a.csv::temp", "b.csv::temp")}
     with pytest.raises(ValueError, match="lacks"):
@@ -103,7 +110,7 @@ def test_augmentation_keeps_marks(spark):
     for op in ("all", "corrupt", "cutoff"):
         assert all("[SEP]" in r.tokens for r in augment.augment_pairs(df, ["id"], op).collect())
     moved = augment.augment(df, "append_col", ["id"]).first().tokens
-    assert moved.index("[SEP]") < len(moved) and sorted(moved + ["COL", "VAL", "a" if "b" in moved[:2] else "b"]) and moved.count("COL") == 3
+    assert moved.index("[SEP]") < len(moved) and moved.count("COL") == 3 and sorted(t for t in moved if t not in ("COL", "VAL", "a", "b", "c", "[SEP]")) == sorted(t for t in df.first().tokens if t not in ("COL", "VAL", "a", "b", "c", "[SEP]"))
     with pytest.raises(ValueError, match="unknown"):
         augment.augment(df, "nothing", ["id"])
     none = spark.createDataFrame([(1, [], [])], "id int, tokens array<string>, labels array<string>")
@@ -118,6 +125,39 @@ def test_bootstrap_edges(spark):
     assert labels.bootstrap(s, 10, 2).count() == 10
 
 
+def test_order_statistics(spark):
+    """Histograms find the n-th value that sorting finds, with ties, in groups and over huge ranges."""
+    rng = np.random.default_rng(3)
+    rows = [(str(g), int(v)) for g in range(4) for v in rng.choice([-(1 << 60), -7, -1, 0, 1, 5, 255, 256, 1 << 20, 1 << 60, *range(90)], 40 * g + 1)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(3)
+    for n in (1, 7, 30, 1000):
+        for r in nth_in_groups(df, ["g"], "v", n).collect():
+            own = sorted(v for g, v in rows if g == r.g)
+            cut = own[min(n, len(own)) - 1]
+            assert (r.total, r.cut) == (len(own), cut) and (own.count(cut) if r.rest is None else r.rest) == min(n, len(own)) - sum(v < cut for v in own)
+    x = [float(v) for v in rng.choice(rng.normal(size=50) * 1e9, 300)] + [None]
+    scores = spark.createDataFrame([(v,) for v in x], "score double")
+    own = sorted(v for v in x if v is not None)
+    for n in (1, 2, 150, 300, 900):
+        assert nth_value(scores, "score", n) == own[min(n, 300) - 1] and nth_value(scores, "score", n, largest=True) == own[-min(n, 300)]
+    assert nth_value(scores.limit(0), "score", 1) is None
+
+
+def test_profile_samples_beyond_the_first_cells(spark):
+    """A column whose first cells are missing is typed by its first values, however far behind they lie."""
+    rows = [(0, "t", 0, "far", i, "" if i < 150 else str(i)) for i in range(300)] + [(0, "t", 1, "near", i, f"w{i}") for i in range(300)] + [(0, "t", 2, "none", i, "NA") for i in range(300)]
+    cells = spark.createDataFrame(rows, tables.CELLS).repartition(4)
+    got = {r.column_name: r for r in profile.profiles(cells, 50, 20).collect()}
+    assert {k: v.type for k, v in got.items()} == {"far": "numeric", "near": "text", "none": "empty"} and got["far"].numeric_features == [0.0] * 8
+    assert {r.column_name: (r.type, r.n_sampled) for r in profile.column_types(cells, 20).collect()} == {"far": ("numeric", 20), "near": ("text", 20), "none": ("empty", 0)}
+
+
+def test_general_format(spark):
+    values = [0.0, 1.0, -999.85, 43824.0, 2012.5, 0.00012345, 9.9996, 99996.0, 1e-7, 1.5e300, 0.5, 1234.0, -0.0625]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(general(F.col("x"))).collect()]
+    assert got == ["0", "1", "-999.9", "4.382e+04", "2013", "0.0001235", "10", "1e+05", "1e-07", "1.5e+300", "0.5", "1234", "-0.0625"]
+
+
 def test_negatives(spark):
     n = spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, cluster int")
     positives = spark.createDataFrame([(0, 2)], "left long, right long")
