@@ -100,4 +100,11 @@ ORACLES: dict[str, str] = {
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_zip_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a FROM pages),
+        d AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last, list_transform(range(8), lambda i: ('0x' || substr(x, (5 * i + 1)::INTEGER, 5))::BIGINT) AS v FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(v, lambda y: a[(y >> 15) + 1] || a[(y >> 10) % 32 + 1] || a[(y >> 5) % 32 + 1] || a[y % 32 + 1]), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM d""",
 }
