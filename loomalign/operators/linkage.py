@@ -39,20 +39,26 @@ def score(model, features: DataFrame) -> DataFrame:
     return out.select("pair_id", "l", "r", "label", vector_to_array("probability")[1].alias("score"))
 
 
-def train_selected(train_set: DataFrame, valid_set: DataFrame, test_set: DataFrame, grid=((0.001, 1.0), (0.01, 1.0), (0.1, 1.0), (0.01, 2.0)), selection: str = "f1", beta: float = 1.0, step: float = 0.05):
-    """Fit each (regularisation, positive weight), keep the best on valid, apply its threshold to test.
+GRID = ((0.001, 1.0), (0.01, 1.0), (0.1, 1.0), (0.01, 2.0))
 
-    Returns (model, a dict of the threshold and the metrics). Features as pair_features gives them.
+
+def train_epochs(train_set: DataFrame, valid_set: DataFrame, test_set: DataFrame, grid=GRID, selection: str = "f1", beta: float = 1.0, step: float = 0.05, done: int = 0):
+    """Yields (model, metrics) of each point (regularisation, positive weight) of grid from place `done` on: one epoch each.
+
+    metrics: epoch, reg, positive_weight, loss (mean over the training rows), the threshold that is best on valid, the
+    scores there and, with that threshold, on test.
     """
-    best = None
-    for reg, positive in grid:
+    for epoch, (reg, positive) in list(enumerate(grid))[done:]:
         model = train(train_set, positive=positive, reg=reg)
         found = select_threshold(score(model, valid_set), step, selection, beta).first()  # one row
-        if best is None or found["score"] > best[1]["score"]:
-            best = (model, found, reg, positive)
-    model, found, reg, positive = best
-    test = threshold_counts(score(model, test_set), [found["threshold"]]).first()
-    return model, {"reg": reg, "positive_weight": positive, "threshold": found["threshold"], **{f"valid_{c}": found[c] for c in ("f1", "precision", "recall")}, **{f"test_{c}": test[c] for c in ("f1", "precision", "recall")}}
+        test = threshold_counts(score(model, test_set), [found["threshold"]]).first()
+        loss = float(model.summary.objectiveHistory[-1])
+        yield model, {"epoch": epoch, "reg": reg, "positive_weight": positive, "loss": loss, "threshold": float(found["threshold"]), "valid_score": float(found["score"]), **{f"{n}_{c}": float(r[c]) for n, r in (("valid", found), ("test", test)) for c in ("f1", "precision", "recall")}}
+
+
+def train_selected(train_set: DataFrame, valid_set: DataFrame, test_set: DataFrame, grid=GRID, selection: str = "f1", beta: float = 1.0, step: float = 0.05):
+    """(model, metrics) of the epoch that is best on valid, the first of equals. Features as pair_features gives them."""
+    return max(train_epochs(train_set, valid_set, test_set, grid, selection, beta, step), key=lambda x: (x[1]["valid_score"], -x[1]["epoch"]))
 
 
 def kmeans_clusters(vectors: DataFrame, clusters: int = 90, seed: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomalign.functions.text import draw, general, is_missing, let, strip, strip_cell
+from loomalign.operators.order import nth_in_groups
 from loomalign.operators.profile import COLUMN, column_list, column_types, first_present, numeric_features
 
 
@@ -31,11 +32,15 @@ def value_texts(cells: DataFrame, max_cells: int = 128) -> DataFrame:
 
 
 def corpus_texts(cells: DataFrame, max_cells: int = 128) -> DataFrame:
-    """'[COL] name [VAL] v ...' of max_cells non-missing cells drawn by hash, in row order."""
+    """'[COL] name [VAL] v1 [VAL] v2 ...' of max_cells non-missing cells drawn by hash, in row order; a column without any is '[COL] name '."""
     kept = cells.where(~is_missing(F.col("value"))).withColumn("d", draw(F.lit("corpus"), F.col("table_name"), F.col("column_name"), F.col("row_idx")))
-    drawn = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN).orderBy("d", "row_idx"))).where(F.col("rank") <= max_cells)
+    cuts = nth_in_groups(kept, COLUMN, "d", max_cells)  # the drawn cells are those with the smallest numbers
+    near = kept.join(cuts.drop("total"), COLUMN).where(F.col("d") <= F.col("cut"))
+    drawn = near.withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN).orderBy("d", "row_idx"))).where(F.col("rank") <= max_cells)
     vals = drawn.groupBy(*COLUMN).agg(F.sort_array(F.collect_list(F.struct("row_idx", "value"))).alias("c"))
-    return vals.select(*COLUMN, F.concat(F.lit("[COL] "), "column_name", F.lit(" [VAL] "), F.regexp_replace(F.array_join(F.transform("c", lambda x: x["value"]), " "), "[\r\n]", " ")).alias("text"))
+    marked = F.array_join(F.transform("c", lambda x: F.concat(F.lit("[VAL] "), x["value"])), " ")
+    text = F.concat(F.lit("[COL] "), "column_name", F.lit(" "), F.coalesce(F.regexp_replace(marked, "[\r\n]", " "), F.lit("")))
+    return column_list(cells).join(vals, COLUMN, "left").select(*COLUMN, text.alias("text"))
 
 
 def sample_values(cells: DataFrame, n: int = 20) -> DataFrame:

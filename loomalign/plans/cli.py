@@ -1,4 +1,4 @@
-"""Command line: match, pairwise_match, multi_match, pipeline, block, build_dataset, evaluate."""
+"""Command line: match, pairwise_match, multi_match, pipeline, train, block, build_dataset, corpus, convert, evaluate."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ import os
 
 from pyspark.sql import SparkSession
 
+from loomalign.operators import labels, linkage, serialize
 from loomalign.plans import matchers, records
 from loomalign.sources import sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomalign")
-    p.add_argument("mode", choices=["match", "pairwise_match", "multi_match", "pipeline", "block", "build_dataset", "evaluate"])
+    p.add_argument("mode", choices=["match", "pairwise_match", "multi_match", "pipeline", "train", "block", "build_dataset", "corpus", "convert", "evaluate"])
     add = p.add_argument
     add("--reference", default=""), add("--target", default="")
     add("--backend", choices=["heuristic", "vectors"], default="vectors")
@@ -26,13 +27,14 @@ def parser() -> argparse.ArgumentParser:
     add("--cluster_strategy", choices=["conservative", "connected_components"], default="conservative")
     add("--expand_edges_from_clusters", action=argparse.BooleanOptionalAction, default=True)
     add("--ground_truth", default="")
-    add("--task_type", default="em"), add("--task", default="Abt-Buy"), add("--logdir", default="results")
+    add("--task_type", default="em"), add("--task", default=""), add("--logdir", default="results")
     add("--k", type=int, default=10), add("--threshold", type=float, default=None), add("--tfidf", action="store_true"), add("--blocking", action="store_true")
     add("--bootstrap", action="store_true"), add("--zero", action="store_true"), add("--multiplier", type=int, default=8)
     add("--clustering", action="store_true"), add("--num_clusters", type=int, default=90), add("--cluster_negatives_per_left", type=int, default=1)
     add("--head", choices=["full", "paired_only"], default="full"), add("--size", type=int, default=None), add("--seed", type=int, default=0)
     add("--selection_metric", choices=["f1", "fbeta", "precision"], default="f1"), add("--selection_beta", type=float, default=1.0), add("--threshold_step", type=float, default=0.05)
     add("--checkpoint", default=""), add("--save", default="")
+    add("--run", default="run"), add("--resume", action="store_true"), add("--epochs", type=int, default=None)
     return p
 
 
@@ -42,17 +44,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     log = sinks.run_logger(a.mode, os.path.join(a.logdir, "logs"))
     sinks.log_arguments(log, vars(a))
     task = lambda: tables.resolve_task(a.task_type, a.task)
+    training = {"head": a.head, "bootstrap": a.bootstrap, "zero_shot": a.zero, "multiplier": a.multiplier, "negatives": a.clustering, "num_clusters": a.num_clusters, "negatives_per_left": a.cluster_negatives_per_left, "selection": a.selection_metric, "beta": a.selection_beta, "step": a.threshold_step, "size": a.size}
     show = lambda df: [log.info("%s", r.asDict()) for r in df.toLocalIterator()]  # noqa: E731  reports: columns, not rows of data
     if a.mode == "match":
         cells = tables.read_tables(spark, [a.reference, a.target], a.max_rows)
         names = [os.path.basename(p) for p in (a.target, a.reference)]
         if a.backend == "heuristic":
-            show(matchers.match_heuristic(cells, *names))
-            return
-        matches, clusters = matchers.match_tables(cells, *names, cluster_threshold=a.cluster_threshold, max_cells=a.max_cells_per_column)
+            matches, clusters = matchers.match_heuristic(cells, *names), None
+        else:
+            matches, clusters = matchers.match_tables(cells, *names, cluster_threshold=a.cluster_threshold, max_cells=a.max_cells_per_column)
         show(matches)
         if clusters is not None:
             show(clusters)
+        if a.ground_truth:
+            for df in matchers.evaluate_match(matches, clusters, tables.read_column_truth(spark, a.ground_truth), *names):
+                if df is not None:
+                    show(df)
     elif a.mode in ("pairwise_match", "multi_match"):
         cells = tables.read_tables(spark, tables.discover_tables(a.tables, a.tables_dir, a.tables_glob), a.max_rows)
         truth = tables.read_column_truth(spark, a.ground_truth) if a.ground_truth else None
@@ -70,12 +77,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             if clusters is not None:
                 show(matchers.evaluate_clusters(clusters, truth))
     elif a.mode == "pipeline":
-        model, metrics, recall = records.run_task(spark, task(), a.k, a.blocking, head=a.head, bootstrap=a.bootstrap, zero_shot=a.zero, multiplier=a.multiplier, negatives=a.clustering, num_clusters=a.num_clusters, negatives_per_left=a.cluster_negatives_per_left, selection=a.selection_metric, beta=a.selection_beta, step=a.threshold_step, size=a.size)
+        model, metrics, recall = records.run_task(spark, task(), a.k, a.blocking, **training)
         log.info("%s", metrics)
         if recall is not None:
             show(recall)
         if a.save:
             sinks.save_model(model, a.save)
+    elif a.mode == "train":
+        log.info("%s", records.train_task(spark, task(), a.save or f"{a.logdir}/{a.run}", a.run, linkage.GRID[: a.epochs], a.resume, **training))
+    elif a.mode == "corpus":
+        cells = tables.read_tables(spark, tables.discover_tables(a.tables, a.tables_dir, a.tables_glob), a.max_rows, skip_bad=True)
+        log.info("%d texts", sinks.write_corpus(serialize.corpus_texts(cells, a.max_cells_per_column), a.save or f"{a.logdir}/corpus"))
+    elif a.mode == "convert":
+        for path in [p for p in a.task.split(",") if p]:
+            folder = tables.resolve_task(a.task_type, path)
+            sinks.write_unlabelled(labels.unlabelled(tables.read_labelled(spark, f"{folder}/train.txt")), f"{folder}/train_no_label.txt")
     elif a.mode == "block":
         found = records.block(tables.read_lines(spark, f"{task()}/tableA.txt"), tables.read_lines(spark, f"{task()}/tableB.txt"), a.k, a.threshold, a.tfidf)
         sinks.write_candidates(found, f"{a.logdir}/blocking_result")
@@ -88,6 +104,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
 
 
 
-
 if __name__ == "__main__":
     main()

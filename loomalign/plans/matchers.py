@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.functions.similarity import dot, fused_score, normalise_weights, profile_similarity
+from loomalign.functions.similarity import dot, fused_score, normalise_weights, profile_similarity, relabel_cluster_node
 from loomalign.operators import candidates, evaluate, graph, profile, serialize
 from loomalign.operators.encode import Encoder, HashedEncoder
 from loomalign.sources.durable import stored
@@ -41,6 +41,22 @@ def match_tables(cells: DataFrame, target: str, reference: str, encoder: Encoder
     return matches, graph.connected_components(graph.two_table_edges(labelled, cluster_threshold), "tgt", "ref")
 
 
+def evaluate_match(matches: DataFrame, clusters: DataFrame | None, truth: DataFrame, target: str, reference: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Metrics of match_tables against column ground truth (left, right) of the two tables: of its pairs; of its clusters, purity and pair metrics.
+
+    A column's true label is its component in the ground truth; a column without one has a label of its own.
+    """
+    own = evaluate.table_pair_truth(truth, target, reference)
+    label = lambda t, c: F.concat(F.lit(f"{t}::"), c)
+    pairs = matches.select(label(target, "tgt").alias("x"), label(reference, "ref").alias("y")).select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
+    found = evaluate.pair_confusion(pairs, own)
+    if clusters is None:
+        return found, None, None
+    named = stored(clusters.select("cluster_id", relabel_cluster_node(F.col("node"), reference, target).alias("node")), "named-clusters")
+    labels = graph.connected_components(own, "left", "right").select("node", F.col("cluster_id").alias("label"))
+    return found, evaluate.cluster_purity(named, labels), evaluate_clusters(named, own)
+
+
 def pairwise_predictions(pairs: DataFrame) -> DataFrame:
     """(left, right, la, lb, score) of every two tables: the table with the smaller id is the reference, and each column of the other one gets its best reference. One job for all table pairs.
 

@@ -112,7 +112,7 @@ def draw_sql(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
-@query(f"WITH {cells_sql('part', 'customer')}, d AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY {draw_sql(chr(39) + 'corpus' + chr(39), 'table_name', 'column_name', 'row_idx')}, row_idx) AS k FROM kept) SELECT table_name, column_name, '[COL] ' || column_name || ' [VAL] ' || string_agg(value, ' ' ORDER BY row_idx) AS text FROM d WHERE k <= 128 GROUP BY table_name, column_name")
+@query(f"WITH {cells_sql('part', 'customer')}, d AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY {draw_sql(chr(39) + 'corpus' + chr(39), 'table_name', 'column_name', 'row_idx')}, row_idx) AS k FROM kept) SELECT table_name, column_name, '[COL] ' || column_name || ' ' || string_agg('[VAL] ' || value, ' ' ORDER BY row_idx) AS text FROM d WHERE k <= 128 GROUP BY table_name, column_name")
 def serialize_corpus(spark, sf_dir):
     return serialize.corpus_texts(cells(spark, sf_dir, "part", "customer")).select("table_name", "column_name", "text")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomalign.functions.similarity import cosine
 from loomalign.operators import blocking, evaluate, labels, linkage, serialize
 from loomalign.operators.encode import Encoder, HashedEncoder
-from loomalign.sources import tables
+from loomalign.sources import sinks, tables
 from loomalign.sources.durable import stored
 
 
@@ -55,8 +55,9 @@ def match_records(
     beta: float = 1.0,
     step: float = 0.05,
     size: int | None = None,
+    epochs=None,
 ):
-    """(model, metrics) of a pair classifier over labelled text pairs (pair_id, left, right, label).
+    """(model, metrics) of a pair classifier over labelled text pairs (pair_id, left, right, label). epochs: another trainer over the three sets of features.
 
     Pseudo-labels (bootstrap) replace the labels after the first size rows by what the vectors' similarity says; hard
     negatives (negatives) add pairs of texts from one k-means cluster. The best model and threshold on valid are applied
@@ -78,9 +79,31 @@ def match_records(
         more = labels.cluster_negatives(side("left"), side("right"), tables.positive_pairs(train), negatives_per_left)
         own = own.unionByName(more.select(F.lit(-1).cast("long").alias("pair_id"), F.col("left").alias("l"), F.col("right").alias("r"), F.lit(0).alias("label")))
     features = [stored(linkage.pair_features(p, vectors, head), "features") for p in (own, _text_pairs(valid, vectors), _text_pairs(test, vectors))]
+    if epochs is not None:
+        return epochs(*features, selection=selection, beta=beta, step=step)
     return linkage.train_selected(*features, selection=selection, beta=beta, step=step)
 
 
+def train_task(spark: SparkSession, folder: str, out: str, run: str = "run", grid=linkage.GRID, resume: bool = False, **options) -> dict:
+    """Train on a task folder, an epoch for each point of grid: out/epoch_N holds every model, out/best_model the best one on valid, out/metrics a row an epoch.
+
+    resume: epochs of this run whose metrics are written already are not trained again. Returns the best epoch's metrics.
+    """
+
+    def epochs(*features, **how):
+        rows = sinks.read_metrics(spark, run, f"{out}/metrics") if resume else []
+        for model, metrics in linkage.train_epochs(*features, grid=grid, done=len(rows), **how):
+            sinks.save_model(model, f"{out}/epoch_{metrics['epoch']}")
+            if not rows or metrics["valid_score"] > max(r["valid_score"] for r in rows):
+                sinks.save_model(model, f"{out}/best_model")
+            sinks.append_metrics(spark.createDataFrame([metrics]), run, f"{out}/metrics")  # last: an epoch counts when its model is written
+            rows.append(metrics)
+        return None, max(rows, key=lambda r: (r["valid_score"], -r["epoch"]))
+
+    splits = [tables.read_labelled(spark, f"{folder}/{n}.txt") for n in ("train", "valid", "test")]
+    return match_records(*splits, epochs=epochs, **options)[1]
+
+
 def evaluate_saved(path: str, valid: DataFrame, test: DataFrame, encoder: Encoder | None = None, head: str = "full", selection: str = "f1", beta: float = 1.0, step: float = 0.05) -> DataFrame:
     """Metrics of a saved model on test, with the threshold that is best on valid."""
     from pyspark.ml.classification import LogisticRegressionModel
@@ -108,4 +131,4 @@ def run_task(spark: SparkSession, folder: str, k: int = 10, with_blocking: bool
     return model, metrics, evaluate.blocking_recall(block(a, b, k), truth, list(range(1, k + 1)))
 
 
-__all__: Sequence[str] = ("block", "build_dataset", "encoded", "evaluate_saved", "match_records", "run_task")
+__all__: Sequence[str] = ("block", "build_dataset", "encoded", "evaluate_saved", "match_records", "run_task", "train_task")

@@ -6,7 +6,7 @@ import logging
 import os
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,30 @@ def write_matching_dataset(pairs: DataFrame, a: DataFrame, b: DataFrame, path: s
     a.select("text").union(b.select("text")).distinct().write.mode("overwrite").text(f"{path}/train_no_label.txt")
 
 
-def write_corpus(texts: DataFrame, path: str) -> None:
-    """A pretraining corpus: 'text tab text tab 1' lines, line breaks made spaces; train, valid, test and the two tables hold the same lines."""
-    t = F.regexp_replace("text", "[\r\n]", " ")
-    lines = texts.select(F.concat_ws("\t", t, t, F.lit("1")).alias("value"))
+def write_corpus(texts: DataFrame, path: str) -> int:
+    """A pretraining corpus under path: train_no_label has a line for each text, line breaks made spaces; train, valid, test,
+    tableA and tableB hold one line, the first text paired with itself. Returns the number of texts; none is an error."""
+    lines = texts.select(F.regexp_replace("text", "[\r\n]", " ").alias("value"))
+    first, n = lines.agg(F.min("value").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    if not n:
+        raise ValueError("there are no columns to write")
+    lines.write.mode("overwrite").text(f"{path}/train_no_label.txt")
     for name in ("train", "valid", "test", "tableA", "tableB"):
-        lines.write.mode("overwrite").text(f"{path}/{name}.txt")
+        texts.sparkSession.range(1).select(F.lit(f"{first}\t{first}\t1").alias("value")).write.mode("overwrite").text(f"{path}/{name}.txt")
+    return n
+
+
+def write_unlabelled(lines: DataFrame, path: str) -> None:
+    """Texts of labelled pairs (pair_id, side, text), a line each, in order."""
+    lines.orderBy("pair_id", "side").select("text").write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, run: str, path: str) -> list[dict]:
+    """The rows that append_metrics has written for a run, oldest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return [r.asDict() for r in spark.read.parquet(path).where(F.col("run") == run).orderBy("at").collect()]  # a row an epoch
 
 
 def append_metrics(df: DataFrame, run: str, path: str) -> None:

@@ -1,12 +1,14 @@
 """Files, matchers, records, augmentation, streaming: end to end on small inputs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomalign.functions.text import general
-from loomalign.operators import augment, blocking, labels, linkage, profile, serialize
+from loomalign.operators import augment, blocking, graph, labels, linkage, profile, serialize
 from loomalign.operators.encode import FunctionEncoder, GivenVectors, HashedEncoder
 from loomalign.operators.order import nth_in_groups, nth_value
 from loomalign.plans import cli, matchers, records
@@ -59,6 +61,68 @@ def test_matchers(spark, folder):
     cli.main(["multi_match", "--tables_dir", str(folder), "--ground_truth", str(folder / "multi_gt.csv"), "--logdir", str(folder / "out")], spark)
 
 
+def test_match_against_ground_truth(spark, folder):
+    cells = tables.read_tables(spark, tables.discover_tables(folder=str(folder)))
+    truth = tables.read_column_truth(spark, str(folder / "multi_gt.csv"))
+    matches = spark.createDataFrame([("town", "city", 0.9), ("temp", "temp", 0.8), ("no", "city", 0.1)], "tgt string, ref string, score double")
+    clusters = spark.createDataFrame([("1", "Ref::city"), ("1", "Target::town"), ("2", "Ref::temp"), ("2", "Target::temp"), ("2", "Target::x")], "cluster_id string, node string")
+    pairs, purity, grouped = (df.first() for df in matchers.evaluate_match(matches, clusters, truth, "b.csv", "a.csv"))
+    assert (pairs.tp, pairs.fp, pairs.fn) == (2, 1, 0) and (purity["items"], purity.majority) == (5, 4) and (grouped.tp, grouped.fp, grouped.fn) == (2, 1, 0)
+    assert matchers.evaluate_match(matches, None, truth, "b.csv", "a.csv")[1] is None
+    for backend in ("heuristic", "vectors"):
+        cli.main(["match", "--reference", str(folder / "a.csv"), "--target", str(folder / "b.csv"), "--backend", backend, "--cluster_threshold", "0.3", "--ground_truth", str(folder / "multi_gt.csv"), "--logdir", str(folder / "out")], spark)
+    assert cells.count() == 21
+
+
+def test_training_is_kept_and_resumed(spark, folder):
+    lines = [f"thing {i % 40} red\tthing {(i if i % 2 else i + 7) % 40} blue\t{i % 2}" for i in range(120)]
+    task = folder / "em" / "t"
+    task.mkdir(parents=True)
+    for name, part in (("train", lines[:80]), ("valid", lines[80:100]), ("test", lines[100:])):
+        (task / f"{name}.txt").write_text("\n".join(part) + "\n")
+    out = str(folder / "model")
+    first = records.train_task(spark, str(task), out, grid=linkage.GRID[:2])
+    assert [r["epoch"] for r in sinks.read_metrics(spark, "run", f"{out}/metrics")] == [0, 1] and first["valid_f1"] > 0.5 and first["loss"] > 0
+    cli.main(["train", "--task_type", str(folder / "em"), "--task", "t", "--save", out, "--epochs", "3", "--resume", "--logdir", str(folder / "out")], spark)
+    rows = sinks.read_metrics(spark, "run", f"{out}/metrics")
+    assert [r["epoch"] for r in rows] == [0, 1, 2] and {p.name for p in (folder / "model").iterdir()} == {"metrics", "best_model", "epoch_0", "epoch_1", "epoch_2"}
+    assert records.train_task(spark, str(task), out, grid=linkage.GRID[:3], resume=True)["valid_score"] == max(r["valid_score"] for r in rows)
+    cli.main(["evaluate", "--task_type", str(folder / "em"), "--task", "t", "--checkpoint", f"{out}/best_model", "--logdir", str(folder / "out")], spark)
+    cli.main(["convert", "--task_type", str(folder / "em"), "--task", "t", "--logdir", str(folder / "out")], spark)
+    assert [r.value for r in spark.read.text(f"{task}/train_no_label.txt").collect()][:3] == ["thing 0 red", "thing 7 blue", "thing 1 red"]
+
+
+def test_corpus(spark, folder):
+    cli.main(["corpus", "--tables_dir", str(folder), "--save", str(folder / "corpus"), "--logdir", str(folder / "out")], spark)
+    lines = {r.value for r in spark.read.text(str(folder / "corpus/train_no_label.txt")).collect()}
+    assert "[COL] city [VAL] Rome [VAL] Oslo [VAL] Two lines" in lines and len(lines) == 7
+    assert [r.value for r in spark.read.text(str(folder / "corpus/valid.txt")).collect()] == [f"{min(lines)}\t{min(lines)}\t1"]
+    with pytest.raises(ValueError, match="no columns"):
+        sinks.write_corpus(spark.createDataFrame([], "text string"), str(folder / "none"))
+
+
+# The benchmark's tables (columns of each, numbered through) and its true clusters.
+SIZES = (13, 18, 17, 17, 17, 17, 15, 18)
+CLUSTERS = """18,36,53,70,87,119 30,47,64,81,98,131 0,13,31,48,65,82,114 1,14,32,49,66,83,115 2,15,33,50,67,84,116 3,16,34,51,68,85,117 6,23,40,57,74,91,124
+8,25,42,59,76,93,126 9,27,44,61,78,95,128 10,28,45,62,79,96,129 12,29,46,63,80,97,130 24,41,58,75,92,112,125 4,17,35,52,69,86,100,118 7,26,43,60,77,94,111,127
+5,19,20,21,22,37,38,39,54,55,56,71,72,73,88,89,90,120,121,122,123"""
+
+
+def test_golden_clusters(spark):
+    """The true clusters come back as components of their cross-table pairs; 482 pairs, 462 without the seventh table, at most 348 one-to-one in each two tables."""
+    table = [t for t, n in enumerate(SIZES) for _ in range(n)]
+    groups = [[int(x) for x in g.split(",")] for g in CLUSTERS.split()]
+    nodes = spark.createDataFrame([(k, n, table[n]) for k, g in enumerate(groups) for n in g], "cluster_id int, node int, table_id int")
+    pairs = graph.cluster_pairs(nodes)
+    assert len(table) == 132 and pairs.count() == 482 and graph.cluster_pairs(nodes.where("table_id != 6")).count() == 462
+    found = {}
+    for r in graph.connected_components(pairs, "left", "right").collect():
+        found.setdefault(r.cluster_id, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
+    per_table = [Counter(table[n] for n in g) for g in groups]
+    assert sum(min(c[a], c[b]) for c in per_table for a in c for b in c if a < b) == 348
+
+
 def test_dataset_and_records(spark, folder):
     cells = [tables.read_csv_cells(spark, p, i, short_rows="skip") for i, p in enumerate(tables.discover_tables(folder=str(folder)))]
     pairs, a, b = records.build_dataset(*cells)
