@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomalign.functions.similarity import EPS, unit
+from loomalign.sources.durable import stored
 
 
 class Encoder(Protocol):
@@ -35,7 +36,7 @@ class HashedEncoder:
     def fit(self, rows: DataFrame, key: str = "node", text: str = "text") -> HashedEncoder:
         n = rows.count()
         df = self._counts(rows, key, text).groupBy("place").agg(F.count(F.lit(1)).alias("df"))
-        return HashedEncoder(self.dim, df.select("place", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), self.max_words)
+        return HashedEncoder(self.dim, stored(df.select("place", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf"), self.max_words)
 
     def transform(self, rows: DataFrame, key: str = "node", text: str = "text") -> DataFrame:
         w = self._counts(rows, key, text).join(F.broadcast(self.idf), "place").withColumn("w", F.col("tf") * F.col("idf"))  # dim rows at most

@@ -631,12 +631,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", tokens.alias("tokens"), kinds.alias("labels"))
 
 
-@query()
+RECORD_SQL = "tk AS (SELECT c_custkey, string_split(x || ' [SEP] ' || x, ' ') AS t FROM (SELECT c_custkey, 'COL name VAL ' || c_name || ' COL nation VAL ' || c_nationkey || ' COL segment VAL ' || c_mktsegment AS x FROM customer)), sp AS (SELECT *, list_position(t, '[SEP]') - 1 AS sep, list_filter(range(len(t)), lambda i: t[i + 1] = 'COL') AS st FROM tk), cs AS (SELECT *, list_transform(st, lambda s, k: {'s': s, 'e': least(coalesce(st[k + 1], len(t)), CASE WHEN s < sep THEN sep ELSE len(t) END)}) AS c FROM sp)"
+
+
+def r_sql(op: str, part: str) -> str:
+    return draw_sql("0", f"'{op}'", "c_custkey", f"'{part}'")
+
+
+@query(f"WITH {RECORD_SQL}, q AS (SELECT *, list_filter(c, lambda x: x.e - x.s <= 8) AS f, {r_sql('drop_col', 'col')} AS d FROM cs) SELECT c_custkey, array_to_string(CASE WHEN len(f) = 0 THEN t ELSE list_concat(t[1:f[d % len(f) + 1].s], t[f[d % len(f) + 1].e + 1:]) END, ' ') AS text FROM q")
 def augment_drop_col(spark, sf_dir):
     return augment.augment(records(spark, sf_dir), "drop_col", ["c_custkey"]).select("c_custkey", F.array_join("tokens", " ").alias("text"))
 
 
-@query()
+@query(f"WITH {RECORD_SQL}, q AS (SELECT *, list_filter(c, lambda x: x.s < sep) AS f, {r_sql('append_col', 'from')} AS d1, {r_sql('append_col', 'to')} AS d2 FROM cs), p AS (SELECT *, d1 % len(f) AS i, (d1 % len(f) + 1 + d2 % (len(f) - 1)) % len(f) AS j FROM q) SELECT c_custkey, array_to_string(list_concat(t[1:f[1].s], flatten(list_transform(list_filter(range(len(f)), lambda k: k <> i), lambda k: list_concat(t[f[k + 1].s + 1:f[k + 1].e], CASE WHEN k = j THEN t[f[i + 1].s + 4:f[i + 1].e] ELSE [] END))), t[f[len(f)].e + 1:]), ' ') AS text FROM p")
 def augment_append_col(spark, sf_dir):
     return augment.augment(records(spark, sf_dir), "append_col", ["c_custkey"]).select("c_custkey", F.array_join("tokens", " ").alias("text"))
 

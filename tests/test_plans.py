@@ -189,6 +189,18 @@ def test_bootstrap_edges(spark):
     assert labels.bootstrap(s, 10, 2).count() == 10
 
 
+def test_tfidf_bounds_change_nothing(spark):
+    """Whatever counts as a common term, each row's nearest ones are those of the plain join."""
+    rng = np.random.default_rng(5)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 4000) % 300]
+    table = lambda at, n: spark.createDataFrame([(i, " ".join(words[(at + 7 * i + j) % 4000] for j in range(3 + i % 9))) for i in range(n)], "id long, text string")
+    a, b = table(0, 120), table(1500, 60)
+    plain = {(r.r, r.l): r.score for r in blocking.tfidf_candidates(a, b, 4, common=10**6).collect()}
+    for common in (0, 3, 25):
+        got = {(r.r, r.l): r.score for r in blocking.tfidf_candidates(a, b, 4, common=common).collect()}
+        assert got.keys() == plain.keys() and all(abs(got[x] - plain[x]) < 1e-9 for x in got), common
+
+
 def test_order_statistics(spark):
     """Histograms find the n-th value that sorting finds, with ties, in groups and over huge ranges."""
     rng = np.random.default_rng(3)
