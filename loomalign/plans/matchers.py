@@ -33,7 +33,7 @@ def match_tables(cells: DataFrame, target: str, reference: str, encoder: Encoder
     """(matches (tgt, ref, score), best first; clusters (node, cluster_id) of labels Target::x and Ref::x, if a threshold is given)."""
     nodes = column_nodes(cells, encoder, with_profiles=False, **text_options)
     side = lambda t, n: nodes.where(F.col("table_name") == t).select(F.col("column_name").alias(n), F.col("embedding").alias(f"e{n}"))
-    scores = stored(candidates.in_blocks(side(target, "tgt"), side(reference, "ref"), blocks=4).select("tgt", "ref", dot(F.col("etgt"), F.col("eref")).alias("score")), "scores")
+    scores = stored(candidates.in_blocks(side(target, "tgt"), side(reference, "ref")).select("tgt", "ref", dot(F.col("etgt"), F.col("eref")).alias("score")), "scores")
     matches = candidates.top_match(scores).orderBy(F.desc("score"), "tgt")
     if cluster_threshold is None:
         return matches, None

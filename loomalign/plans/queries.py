@@ -320,8 +320,11 @@ def cluster_pairs(spark, sf_dir):
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = sparse(spark, sf_dir).select(F.least("src", "dst").alias("left"), F.greatest("src", "dst").alias("right"), "score").distinct()
-    return graph.expand_edges(one, sparse_clusters(spark, sf_dir), scored_pairs(spark, sf_dir, False).select(F.col("a").alias("left"), F.col("b").alias("right"), "score"), 0.2)
+    pairs = scored_pairs(spark, sf_dir, False)
+    chosen = stored(graph.sparse_edges(candidates.mirrored(pairs), 0.45), "sparse")
+    groups = graph.connected_components(chosen).join(vectors(spark, sf_dir).select("node", "table_id"), "node")
+    one = chosen.select(F.least("src", "dst").alias("left"), F.greatest("src", "dst").alias("right"), "score").distinct()
+    return graph.expand_edges(one, groups, pairs.select(F.col("a").alias("left"), F.col("b").alias("right"), "score"), 0.2)
 
 
 EXPANDED = 'SELECT l AS "left", r AS "right", max(score) AS score FROM (SELECT least(a, b) AS l, greatest(a, b) AS r, score FROM links JOIN pairs ON a = src AND b = dst UNION ALL SELECT l, r, score FROM cp JOIN pairs ON l = src AND r = dst WHERE score >= 0.2) GROUP BY 1, 2'
@@ -334,8 +337,9 @@ def expand_edges(spark, sf_dir):
 
 @query()
 def conservative_clusters(spark, sf_dir):
-    edges = candidates.reciprocal(candidates.per_table_top(fused(spark, sf_dir), K)).withColumnsRenamed({"a": "src", "b": "dst"})
-    inside = fused(spark, sf_dir).where("src < dst").select("src", "dst", F.col("fused").alias("score"))
+    pairs = stored(fused(spark, sf_dir), "fused")
+    edges = candidates.reciprocal(candidates.per_table_top(pairs, K)).withColumnsRenamed({"a": "src", "b": "dst"})
+    inside = pairs.where("src < dst").select("src", "dst", F.col("fused").alias("score"))
     return graph.conservative_clusters(edges, inside, vectors(spark, sf_dir), 0.3)
 
 

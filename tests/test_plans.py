@@ -158,6 +158,14 @@ def test_losses():
     z = np.random.default_rng(0).normal(size=(8, 5))
     assert linkage.info_nce(np.stack([z, z])) < linkage.info_nce(np.stack([z, z[::-1]]))
     assert linkage.barlow_twins((z, z)) < linkage.barlow_twins((z, z[::-1]))
+    x, y = np.random.default_rng(4).normal(size=(2, 5, 3))
+    rows, n = [v / np.linalg.norm(v) for v in (*x, *y)], 5
+    want = np.mean([-np.log(np.exp(rows[i] @ rows[(i + n) % 10] / 0.07) / sum(np.exp(rows[i] @ rows[k] / 0.07) for k in range(10) if k != i)) for i in range(10)])
+    assert linkage.info_nce([x, y]) == pytest.approx(want)
+    unit = [[(v[i, d] - v[:, d].mean()) / (v[:, d].var() + 1e-5) ** 0.5 for i in range(5) for d in range(3)] for v in (x, y)]
+    c = [[sum(unit[0][i * 3 + a] * unit[1][i * 3 + b] for i in range(5)) / 5 for b in range(3)] for a in range(3)]
+    loss = sum((c[a][a] - 1) ** 2 for a in range(3)) / 256 + 0.0039 / 256 * sum(c[a][b] ** 2 for a in range(3) for b in range(3) if a != b)
+    assert linkage.barlow_twins((x, y)) == pytest.approx(loss) and linkage.combined_loss([x, y]) == pytest.approx(0.999 * want + 0.001 * loss)
     assert linkage.combined_loss(np.stack([z, z])) > 0
 
 
@@ -201,6 +209,29 @@ def test_tfidf_bounds_change_nothing(spark):
         assert got.keys() == plain.keys() and all(abs(got[x] - plain[x]) < 1e-9 for x in got), common
 
 
+def test_conservative_clusters_against_a_plain_greedy_run(spark):
+    """Random weighted graphs: the best edge first, merging what stays coherent, over all nodes at once."""
+    rng = np.random.default_rng(9)
+    nodes = [(i, int(rng.integers(0, 6))) for i in range(40)]
+    table, score = dict(nodes), {(i, j): round(float(rng.random()), 3) for i in range(40) for j in range(i) if rng.random() < 0.3}
+    score = {(j, i): s for (i, j), s in score.items()}
+    edges = [(i, j, s) for (i, j), s in score.items() if table[i] != table[j] and rng.random() < 0.7]
+    of, at = lambda i, j: score.get((min(i, j), max(i, j)), 0.0), 0.4
+    groups = [{i} for i in range(40)]
+    for i, j, s in sorted(edges, key=lambda x: (-x[2], x[0], x[1])):
+        x, y = (next(g for g in groups if n in g) for n in (i, j))
+        if s < at or x is y or {table[n] for n in x} & {table[n] for n in y}:
+            continue
+        if all(max(of(n, k) for k in y) >= at for n in x) and all(max(of(n, k) for k in x) >= at for n in y) and sum(of(n, k) for n in x for k in y) / len(x) / len(y) >= 0.3:
+            groups = [g for g in groups if g is not x and g is not y] + [x | y]
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = graph.conservative_clusters(make(edges, "src int, dst int, score double"), make([(i, j, s) for (i, j), s in score.items()], "src int, dst int, score double"), make(nodes, "node int, table_id int"), at, 0.3)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.cluster_id, set()).add(r.node)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups if len(g) > 1) and len(found) > 3
+
+
 def test_order_statistics(spark):
     """Histograms find the n-th value that sorting finds, with ties, in groups and over huge ranges."""
     rng = np.random.default_rng(3)
