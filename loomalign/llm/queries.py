@@ -85,6 +85,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # A match's place is that of its text behind the match before: an earlier place of the same text would have matched.
+    "op1_secret_ledger": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS assign),
+        m AS (SELECT doc_id, t, 'assign' AS kind, 1 AS rank, 6 AS least, regexp_extract_all(t, assign) AS ms, regexp_extract_all(t, assign, 2) AS gs FROM d, p
+            UNION ALL SELECT doc_id, t, 'access', 2, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+            UNION ALL SELECT doc_id, t, 'hex', 3, 24, regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') FROM d),
+        w AS (SELECT *, 1 AS i, strpos(t, ms[1]) - 1 AS s FROM m WHERE len(ms) > 0
+            UNION ALL SELECT doc_id, t, kind, rank, least, ms, gs, i + 1, s + length(ms[i]) + strpos(substr(t, s + length(ms[i]) + 1), ms[i + 1]) - 1 FROM w WHERE i < len(ms)),
+        f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+            string_agg(kind || ':' || s || ':' || (s + length(ms[i])), ',' ORDER BY s, rank) AS spans FROM w WHERE length(gs[i]) >= least GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+        FROM d LEFT JOIN f USING (doc_id)""",
     "op3_winnow_decontam": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -107,4 +120,10 @@ ORACLES: dict[str, str] = {
             array_to_string(list_transform(v, lambda y: a[(y >> 15) + 1] || a[(y >> 10) % 32 + 1] || a[(y >> 5) % 32 + 1] || a[y % 32 + 1]), '') AS payload_digest,
             CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
         FROM d""",
+    # For pages whose text is one article of h1, p, br and b, with the references that the given tables hold.
+    "op10_host_suffix": r"""
+        WITH b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'),
+            lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM pages),
+        t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars, 0::BIGINT AS n_open, 0::BIGINT AS n_covered FROM t""",
 }
