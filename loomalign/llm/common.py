@@ -267,5 +267,19 @@ def slices_by_bytes(batch, column: str, most: int = 16 << 20):
         at = to
 
 
+def tidy() -> None:
+    """Give back what a task's end leaves unused: Python workers live on, and an executor's memory holds all of them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

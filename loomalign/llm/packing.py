@@ -5,7 +5,8 @@ summed up to global offsets (one number a partition). Pass 2 reads the ids, adds
 of the window, so each sequence is full but the last, and a text that crosses a border leaves a boundary record (a piece)
 on each side.
 
-Defined cases: a null or empty text has the end id alone; repeated rows are packed each; an empty table gives no pieces.
+Defined cases: a null or empty text has the end id alone; repeated rows, and rows with null or repeated ids, are packed each;
+a text of any length is cut into as many pieces as it needs; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import slices_by_bytes, stored, tokenizer
+from loomalign.llm.common import slices_by_bytes, stored, tidy, tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -36,7 +37,7 @@ def encode_rows(docs: DataFrame, path: str, mode: str, end: int, key: str = "doc
                 own = [ids[a:b].tobytes() for a, b in zip((until - n).tolist(), until.tolist(), strict=True)]
                 del ids
                 yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), s.column("_id"), pa.array(n), pa.array(own, pa.binary())], names=["part", "at", "doc_id", "n", "ids"])
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
     return rows.mapInArrow(run, "part int, at long, doc_id long, n long, ids binary")

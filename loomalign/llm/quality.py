@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import row_tag, rows_of, slices, stored
+from loomalign.llm.common import row_tag, rows_of, slices, stored, tidy
 
 FEATURES = ("log_words", "distinct", "adjacent", "symbols", "capitals", "tables", "word_length", "lines", "digits", "letters")
 TOP_KEYS = 4
@@ -114,6 +114,7 @@ def _keyed(batches, body):
         for s in slices(batch):
             out = [body(t) for t in s.column("_t").to_pylist()]
             yield s, pa, out
+    tidy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", toxic: str = "toxic", sample_rows: int = 12_000, lexicon_rows: int = 2_000, least: int = 5, ratio: float = 12.0) -> Model:
@@ -206,6 +207,7 @@ def posteriors(scores: DataFrame, base: float) -> DataFrame:
     m = strength(hosts.select(F.col("hn").alias("n"), F.col("hs").alias("s"), F.lit(mu).alias("m")))
     shares = paths.join(hosts, "host").withColumn("hm", (F.col("hs") + m * mu) / (F.col("hn") + m))
     k = strength(shares.select("n", "s", F.col("hm").alias("m")))
+    shares = stored(shares, "shares")  # written, so that the join of a hot site can be split or done by broadcast
     out = scores.join(shares, ["host", "path"])
     host_rate = (F.col("hs") - F.col("p_clean") + m * mu) / (F.col("hn") - 1 + m)
     path_rate = (F.col("s") - F.col("p_clean") + k * F.col("host_rate")) / (F.col("n") - 1 + k)

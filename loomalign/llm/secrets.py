@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import path_exists, slices
+from loomalign.llm.common import path_exists, slices, stored
 
 
 @dataclass(frozen=True)
@@ -115,6 +115,7 @@ def findings(versions: DataFrame, ledger: str, keys: Sequence[str] = ("doc_id",)
     found = read_ledger(versions.sparkSession, ledger).select("blob", F.explode("spans").alias("s"))
     found = found.withColumn("rank", rank[F.concat_ws("@", "s.kind", F.col("s.version").cast("string"))]).where(F.col("rank").isNotNull())
     found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", "rank", "s.end", "s.kind"))).alias("spans"))
+    found = stored(found, "findings")  # written, so that the join of a blob with very many rows can be split
     rows = versions.select(*keys, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
     return rows.join(found, "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")).alias("spans"))
 
