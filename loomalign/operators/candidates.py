@@ -11,10 +11,12 @@ from loomalign.sources.durable import stored, width
 def in_blocks(left: DataFrame, right: DataFrame, on: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Every row of left against every row of right, as an equi-join on blocks: left is dealt out, right goes to each block.
 
-    Both sides stay distributed; blocks * |right| rows move. blocks: as many as a shuffle has tasks, unless it is given.
-    Column names must differ.
+    Both sides stay distributed; blocks * |right| rows move. blocks: one for some hundred rows of left, as many as a shuffle
+    has tasks at most, unless it is given. Column names must differ.
     """
-    blocks = blocks or width(left.sparkSession)
+    if blocks is None:
+        left = stored(left, "left")
+        blocks = min(width(left.sparkSession), block_count(left.count(), 256))
     a = left.withColumn("_block", F.pmod(F.xxhash64(*left.columns[:1]), F.lit(blocks)))
     b = right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     out = a.join(b, "_block").drop("_block")

@@ -29,8 +29,11 @@ def nth_in_groups(rows: DataFrame, by: list[str], value: str, n: int) -> DataFra
     whole = F.col("before") + F.col("w") == F.col("n")
     closed = (F.when((F.col("a") == F.col("b")) | whole, F.col("b")).alias("cut"), F.when((F.col("a") == F.col("b")) & ~whole, F.col("n") - F.col("before")).alias("rest"))
     state = stored(placed.select(*by, "total", "n", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("before").alias("below"), *closed), "order")
-    while not (open_ := state.where("cut is null")).isEmpty():
+    while True:
+        open_ = state.where("cut is null")
         ends = open_.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        if ends["lo"] is None:
+            break
         near = rows.where(F.col(value).between(ends["lo"], ends["hi"]))  # pushed down to the scan
         live = near.select(*by, F.col(value).alias("x")).join(open_, by).where(F.col("x").between(F.col("lo"), F.col("hi")))
         bins = live.groupBy(*by, F.expr(f"(x - lo) div ((hi - lo) div {BINS} + 1)").alias("bin")).agg(F.count(F.lit(1)).alias("w"), F.min("x").alias("a"), F.max("x").alias("b"), *[F.first(c).alias(c) for c in ("below", "total", "n")])

@@ -96,10 +96,11 @@ def profiles(cells: DataFrame, max_samples: int = 50_000, type_samples: int = 20
     cuts = stored(nth_in_groups(cells, COLUMN, "row_idx", max_samples), "cuts")
     seen = stored(_up_to(cells, cuts), "first-cells")
     columns, present = cuts.select(*COLUMN), ~is_missing(F.col("value"))
+    values = stored(seen.where(present).select(*CELL), "values")
     whole = cuts.where(F.col("total") <= max_samples).select(*COLUMN)
-    found = seen.where(present).groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= type_samples).select(*COLUMN)
+    found = values.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= type_samples).select(*COLUMN)
     far = stored(columns.join(whole.unionByName(found).distinct(), COLUMN, "left_anti"), "far")
-    sample = first_present(seen.select(*CELL), type_samples, present)
+    sample = first_cells(values, type_samples)
     if not far.isEmpty():
         sample = sample.join(far, COLUMN, "left_anti").unionByName(first_cells(cells.join(far, COLUMN, "left_semi").where(present).select(*CELL), type_samples))
     none, empty = F.array().cast("array<double>"), F.array().cast("array<string>")
