@@ -14,10 +14,14 @@ all of them, whatever a bucket's size:
 
 1. Each text of a bucket (the texts that share a sketch) is compared with one stable leader, the text that shares most
    sketches with others. Members of one group meet the same few leaders in all their buckets, so pairs grow with texts.
-   Links give components. Then each bucket's components that are still apart meet again, one drawn text of each, while
-   rounds find many links; how many rounds there are changes the work of step 2, not the result.
+   Links give components.
 2. All pairs of texts in different components whose buckets still hold several are candidates, but for those that their
-   lengths and shared shingles rule out exactly (see _rest). So classes are the closure over all candidate pairs.
+   lengths and shared shingles rule out exactly (see _groups). So classes are the closure over all candidate pairs. Where
+   these are many more than the texts, one drawn pair of each two components comes first, as long as that finds many
+   links; draws change the work, not the result.
+
+Sums by bucket and by shingle are written before they are joined back, so that adaptive execution can split the join of a
+hot bucket: no task holds one.
 
 Rows have a number of their own, so ids may repeat or be null. Defined cases: texts without words (null, empty) are equal
 only if their raw texts are (null counts as empty) and have no near copies; fewer than five words are one shingle; ties
@@ -31,11 +35,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.llm.common import slices_by_bytes, stored
+from loomalign.llm.common import slices_by_bytes, stored, tidy
 
 BANDS, PICK, SHINGLE = 20, 3, 5
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-WORTH = 8  # a round of draws is worth another while one pair in so many is a link; what rounds leave, step 2 finds
+WORTH = 4  # pairs a text that step 2 may leave (counted once for each shingle through which they meet); while there are more, draws come first
+PAYS = 8  # a turn of draws is followed by another if one pair in so many is a link
 BLOCK = 1024  # texts of one shingle that meet in one group
 
 
@@ -156,7 +161,7 @@ def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: Co
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         for batch in batches:
-            for s in slices_by_bytes(batch, "_t", 3 << 20):
+            for s in slices_by_bytes(batch, "_t", 1 << 19):
                 raw = pc.fill_null(s.column("_t").cast(pa.large_string()), "")
                 edges = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
                 data = lower[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]]
@@ -173,6 +178,7 @@ def read_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: Co
                     [s.column("_id"), s.column("_g"), pa.array(digest, pa.binary()), pa.array(n.astype(np.int64)), pa.array([k if x else [] for k, x in zip(keys.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([low[a : a + c].tobytes() for a, c in zip(at, n.tolist(), strict=True)], pa.binary())],
                     names=["id", "tag", "digest", "n", "bands", "shingles"],
                 )
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.lit(0).cast("long").alias("_g") if tag is None else tag.alias("_g"), F.col(text).alias("_t"))
     read = rows.mapInArrow(run, "id long, tag long, digest binary, n long, bands array<long>, shingles binary")
@@ -248,32 +254,44 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("row").alias("b"), F.col("part").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         new = labels.join(near, F.col("row") == F.col("a")).select("row", F.least("part", "other").alias("part"), F.col("part").alias("was"))
-        up = new.select(F.col("row").alias("p"), F.col("part").alias("up"))
+        up = labels.select(F.col("row").alias("p"), F.col("part").alias("up"))  # the last round's, which is written
         new = stored(new.join(up, F.col("part") == F.col("p")).select("row", F.least("part", "up").alias("part"), "was"), "labels")
         if new.where("part != was").isEmpty():
             return new.select("row", "part")
         labels = new.select("row", "part")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (row, part) after more links: components of the linked parts only, which are far fewer than the links so far."""
+    part = lambda c: labels.select(F.col("row").alias(c), F.col("part").alias(f"p{c}"))
+    between = links.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    between = stored(between.where("a != b").distinct(), "omh-between")
+    if between.isEmpty():
+        return labels
+    more = components(between)
+    old = labels.join(more.select(F.col("row").alias("part"), F.col("part").alias("to")), "part", "left").select("row", F.coalesce("to", "part").alias("part"))
+    return stored(old.unionByName(more.join(labels.select("row"), "row", "left_anti")), "labels")
+
+
 def _pairs(entries: DataFrame, lead: Column, least: float) -> DataFrame:
     """Pairs of a bucket's leader and its entries. entries: band, row, n, part (its component); lead: the leader's order, largest first.
 
     Entries of the leader's own component are not compared; the lengths must allow the similarity.
     """
     leaders = entries.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max_by(F.struct("row", "n", "part"), lead).alias("l")).where("p0 != p1").select("band", "l")
+    leaders = stored(leaders, "omh-leaders")
     met = entries.join(leaders, "band").where((F.col("part") != F.col("l.part")) & (F.least("n", "l.n") >= least * F.greatest("n", "l.n")))
     return met.select(F.least("row", "l.row").alias("a"), F.greatest("row", "l.row").alias("b")).distinct()
 
 
-def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """All pairs of different components that can reach least, of the texts whose buckets still hold several components.
+def _groups(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Groups (i, j, xs) in which all pairs of different components meet that can reach least, of the texts whose buckets still hold several components.
 
     entries: band, row, n, part. Shingles are made distinct by their occurrence number, so what two texts share is at most
     the number of labelled shingles they share, and that has to reach least * (n1 + n2) / (1 + least). Labelled shingles
     have one order: those of a single component first, then the rarer first. Two texts that reach least share one of the
     first n - least * n + 1 of each, and no more lies behind the first shared one than both have left: an exact
-    prefilter by shingle counts. The texts of one shingle meet in groups of about two blocks, whatever their number;
-    a group's pairs are tested where they meet, and only those that pass leave it.
+    prefilter by shingle counts. The texts of one shingle meet in groups of about two blocks, whatever their number.
     """
 
     def units(batches):
@@ -287,10 +305,12 @@ def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK
                 yield pa.record_batch([pa.array(np.repeat(s.column(c).to_numpy(), n)) for c in ("row", "part")] + [pa.array(labelled(values, n).view(np.int64))], names=["row", "part", "h"])
 
     mixed = entries.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("band")
+    mixed = stored(mixed, "omh-mixed")
     loose = entries.hint("merge").join(mixed, "band").select("row", "n", "part").distinct()
     loose = stored(loose.hint("merge").join(texts, "row").select("row", "n", "part", "shingles"), "omh-loose")
     tokens = loose.mapInArrow(units, "row long, part long, h long")
     common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("h", "c")
+    common = stored(common, "omh-common")
     shared = tokens.select("row", "h").hint("merge").join(common, "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
     own = shared.join(loose.select("row", "n", "part"), "row")
     first = F.col("n") - F.size("s")  # the place of a text's first shingle that other components have as well
@@ -299,6 +319,15 @@ def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK
     heads = heads.select("e.h", F.struct("row", "n", "part", (F.col("n") - F.col("first") - F.col("k")).alias("rest"), F.pmod(F.xxhash64("row"), F.ceil(F.col("e.c") / block)).alias("salt")).alias("x"), (F.ceil(F.col("e.c") / block) - 1).alias("last"))
     cells = heads.select("h", "x", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
     groups = cells.groupBy("h", F.least("x.salt", "other").alias("i"), F.greatest("x.salt", "other").alias("j")).agg(F.min("x.part").alias("p0"), F.max("x.part").alias("p1"), F.collect_list("x").alias("xs")).where("p0 != p1")
+    return stored(groups.select("i", "j", "xs"), "omh-groups")
+
+
+def _meet(groups: DataFrame, least: float, turn: int | None = None) -> DataFrame:
+    """The pairs (a, b) of _groups that lengths and shingle places allow: tested where they meet, so only those that pass leave a task.
+
+    turn: one of them for each two components only, drawn anew every turn, with their number (n, counted once for each
+    shingle through which they meet).
+    """
 
     def meet(batches):
         import numpy as np
@@ -323,13 +352,27 @@ def _rest(entries: DataFrame, texts: DataFrame, least: float, block: int = BLOCK
                 total = n[a] + n[b]
                 need = np.ceil(np.round(least * total / (1 + least), 9))
                 keep = np.minimum(np.minimum(n[a], n[b]), np.minimum(rest[a], rest[b])) >= need
-                x, y = row[a[keep]], row[b[keep]]
-                if len(x):
-                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                a, b = a[keep], b[keep]
                 at = to
+                if not len(a):
+                    continue
+                swap = row[a] > row[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                if turn is None:
+                    pairs = np.unique(np.stack([row[a], row[b]], 1), axis=0)
+                    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    continue
+                drawn = _mix(row[a].astype(np.uint64) * np.uint64(_C1) + row[b].astype(np.uint64) * np.uint64(_C2) + np.uint64(turn)).view(np.int64)
+                low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+                order = np.lexsort((drawn, high, low))
+                low, high, a, b, drawn = low[order], high[order], a[order], b[order], drawn[order]
+                first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+                yield pa.record_batch([pa.array(x) for x in (low[first], high[first], drawn[first], row[a[first]], row[b[first]], np.diff(first, append=len(a)))], names=["low", "high", "drawn", "a", "b", "n"])
 
-    return groups.select("i", "j", "xs").mapInArrow(meet, "a long, b long").distinct()
+    if turn is None:
+        return groups.mapInArrow(meet, "a long, b long").distinct()
+    found = groups.mapInArrow(meet, "low long, high long, drawn long, a long, b long, n long")
+    return found.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), "drawn").alias("p"), F.sum("n").alias("n")).select("p.a", "p.b", "n")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, tag: Column | None = None) -> DataFrame:
@@ -339,7 +382,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     first = F.struct(F.col("id").isNull(), "id", "row")  # the order in which rows of a class stay
     groups = stored(texts.groupBy("digest").agg(F.min("row").alias("row"), F.min(first).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "omh-groups")
     entries = texts.select("row", "n", "bands").hint("merge").join(groups.select("row"), "row", "left_semi").select("row", "n", F.explode("bands").alias("band"))
-    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sizes = stored(entries.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "omh-sizes")
     entries = stored(entries.hint("merge").join(sizes, "band"), "omh-entries")
     weight = stored(entries.groupBy("row").agg(F.sum("c").alias("weight")), "omh-weight")
     # Only texts that share a sketch can be compared. Their rows grow with the input, so they are never broadcast.
@@ -347,24 +390,25 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     labels = spark.createDataFrame([], "row long, part long")
     named = lambda: entries.hint("merge").join(labels, "row", "left").withColumn("part", F.coalesce("part", "row"))
-    met = stored(_pairs(entries.hint("merge").join(weight, "row").withColumn("part", F.col("row")), F.struct("weight", -F.col("row")), least), "omh-pairs")
-    links = found = stored(verify(met, compared, least), "omh-links")
-    turn = 0
-    while n := found.count():
-        labels, turn = components(links), turn + 1
-        if n * WORTH < met.count():
-            break
-        # One drawn text of each component of a bucket meets one of the largest component. Buckets of two have met already.
-        drawn = F.xxhash64("row", "band", F.lit(turn))
-        parts = named().where("c > 2").groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("row", "n"), drawn).alias("r")).select("band", "part", "size", "r.*")
-        met = stored(_pairs(parts, F.struct("size", -F.col("part")), least), "omh-pairs")
-        found = stored(verify(met, compared, least), "omh-links")
-        links = links.union(found)
-    found = stored(verify(stored(_rest(named(), compared, least), "omh-rest"), compared, least), "omh-links")
+    alone = entries.hint("merge").join(weight, "row").withColumn("part", F.col("row"))
+    found = stored(verify(stored(_pairs(alone, F.struct("weight", -F.col("row")), least), "omh-pairs"), compared, least), "omh-links")
     if not found.isEmpty():
-        labels = components(links.union(found))
+        labels = components(found)
+    left, turn = _groups(named(), compared, least), 0
+    while True:
+        met = stored(_meet(left, least, turn), "omh-met")
+        if (met.agg(F.sum("n")).first()[0] or 0) <= WORTH * weight.count():
+            break
+        # Many pairs of the same components: one of each two is aligned, which mostly makes them one.
+        found = stored(verify(met.select("a", "b"), compared, least), "omh-links")
+        if found.count() * PAYS < met.count():
+            break
+        labels, turn = merged(labels, found), turn + 1
+        left = _groups(named(), compared, least)
+    found = stored(verify(stored(_meet(left, least), "omh-rest"), compared, least), "omh-links")
+    labels = merged(labels, found)
     own = groups.join(labels, "row", "left").withColumn("part", F.coalesce("part", "row"))
-    classes = own.groupBy("part").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("stays"))
+    classes = stored(own.groupBy("part").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("stays")), "omh-classes")
     named = own.select("digest", "part").join(classes, "part").select("digest", "class_size", "n_texts", F.col("stays.id").alias("class_id"), F.col("stays.row").alias("_stays"))
     out = texts.select("id", "tag", "row", "digest").join(named, "digest")
     return out.select(F.col("id").alias(key), "class_id", "class_size", "n_texts", (F.col("row") == F.col("_stays")).alias("kept"), *(["tag"] if tag is not None else []))

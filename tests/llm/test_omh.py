@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomalign.llm import omh
 from loomalign.llm.common import py_words
@@ -139,9 +140,11 @@ def test_pairs_inside_a_loose_bucket(spark):
     assert n / 4 < len(set(label.tolist())) < n and [got[i] for i in range(n)] == label.tolist()
 
 
-def test_closure_over_variants_of_one_text(spark):
-    """Many texts of one base: the classes are those of all pairs."""
-    n = 400
+@pytest.mark.parametrize("worth", [4, 0])
+def test_closure_over_variants_of_one_text(spark, monkeypatch, worth):
+    """Many texts of one base: the classes are those of all pairs, whether draws come first (worth 0) or not."""
+    monkeypatch.setattr(omh, "WORTH", worth)
+    n = 250
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
     base, texts = [rng.choice(words) for _ in range(120)], []
