@@ -24,8 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of equal texts the row with the smallest doc_id stays; of several such rows, the one with the smallest hash."""
     groups = cuckoo.exact_groups(docs, tag=row_tag(docs)).where("kept").groupBy("text_sha256")
-    kept = rows_of(docs, groups.agg(F.min(F.struct("doc_id", "tag")).alias("k")).select("k.*"))
-    return kept.dropDuplicates()  # rows that agree in all columns
+    return rows_of(docs, groups.agg(F.min(F.struct("doc_id", "tag")).alias("k")).select("k.*"), once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
