@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomalign.functions.text import draw, normalise_name
+from loomalign.operators import grid
 from loomalign.operators.candidates import in_blocks
 from loomalign.operators.order import nth_value
 from loomalign.sources.durable import numbered, numbered_within, stored
@@ -55,11 +56,17 @@ def bootstrap(scored: DataFrame, size: int, multiplier: int = 8, zero_shot: bool
 
 
 def bootstrap_by_quantile(candidates: DataFrame, multiplier: int = 8) -> DataFrame:
-    """candidates (l, r, score) with label 1 above the (1 - 1 / multiplier) quantile of the scores."""
+    """candidates (l, r, score) with label 1 above the (1 - 1 / multiplier) quantile of the scores. For pairs of vectors, see bootstrap_vectors."""
     q = candidates.agg(F.percentile("score", 1 - 1 / multiplier).alias("q"))
     return candidates.join(F.broadcast(q)).withColumn("label", (F.col("score") > F.col("q")).cast("int")).drop("q")
 
 
+def bootstrap_vectors(a: DataFrame, b: DataFrame, multiplier: int = 8) -> DataFrame:
+    """(l, r) of the pairs of two vector tables (id, embedding) above the (1 - 1 / multiplier) quantile of all pairs' scores; the others are not made."""
+    q = grid.vector_quantile(a, b, 1 - 1 / multiplier)
+    return grid.vector_above(a, b, float("inf") if q is None else q, strict=True, scores=False)
+
+
 def label_confusion(pseudo: DataFrame, truth: DataFrame) -> DataFrame:
     """Rates of right and wrong pseudo-labels: tpr, tnr, fpr, fnr. Both: pair_id, label."""
     j = pseudo.select("pair_id", F.col("label").alias("p")).join(truth.select("pair_id", F.col("label").alias("t")), "pair_id")
