@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomalign.functions.similarity import dot, fused_score, normalise_weights, profile_similarity, relabel_cluster_node
-from loomalign.operators import candidates, evaluate, graph, profile, serialize
+from loomalign.operators import candidates, evaluate, graph, grid, profile, serialize
 from loomalign.operators.encode import Encoder, HashedEncoder
 from loomalign.sources.durable import stored
 
@@ -60,16 +60,16 @@ def evaluate_match(matches: DataFrame, clusters: DataFrame | None, truth: DataFr
 def pairwise_predictions(pairs: DataFrame) -> DataFrame:
     """(left, right, la, lb, score) of every two tables: the table with the smaller id is the reference, and each column of the other one gets its best reference. One job for all table pairs.
 
-    pairs: (a, b, ta, tb, score) of nodes of different tables.
+    pairs: (src, dst, ts, td, score), directed, with td < ts; it needs only the best of each source and table.
     """
-    best = candidates.best(candidates.mirrored(pairs).where("td < ts"), ["src", "td"], 1, F.desc("score"), "dst")
+    best = candidates.best(pairs.where("td < ts"), ["src", "td"], 1, F.desc("score"), "dst")
     return best.select(F.least("src", "dst").alias("left"), F.greatest("src", "dst").alias("right"), F.col("td").alias("la"), F.col("ts").alias("lb"), "score")
 
 
 def pairwise_match(cells: DataFrame, truth: DataFrame | None = None, encoder: Encoder | None = None, **text_options) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(predictions of all table pairs; metrics of each pair that has ground truth; their macro and micro average). Each table is read and encoded once."""
     nodes = column_nodes(cells, encoder, with_profiles=False, **text_options)
-    found = stored(pairwise_predictions(candidates.node_pairs(nodes)), "pairwise")
+    found = stored(pairwise_predictions(grid.candidate_pairs(nodes, per_table=1, below=True)), "pairwise")
     if truth is None:
         return found, None, None
     tables = nodes.select("table_name", "table_id").distinct()
